@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lengths, mixing, packing, quality, rules
+from . import ann, chat, html, lengths, mixing, packing, quality, rules, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return chat.parse(chat.transcripts(talks), chat.learn(talks))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.ledger(table(spark, sf_dir, "documents"))
     base = ~rules.passes("base")
@@ -27,6 +32,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,15 +45,42 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.answers(lengths.histogram(table(spark, sf_dir, "documents")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "embeddings")
+    return ann.search(base, base.filter(F.col("vec_id") % 20 == 0))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
         op2_mixing,
+        op3_chat_formatting,
         op4_quality_rules,
+        op5_warc,
         op7_packing,
         op8_token_counts,
+        op9_html_extraction,
+        op10_nearest_neighbours,
     )
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op4_quality_rules": rules.ORACLE}
+ORACLES = {
+    "op2_mixing": mixing.ORACLE,
+    "op4_quality_rules": rules.ORACLE,
+    "op5_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+""",
+}
