@@ -46,7 +46,7 @@ from .common import bound_batches, utf8
 LEAST, RECORDS, BLOCK_LINES, GAP = 100, 8_192, 512, 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_TRAILER = struct.Struct("<QQ")
+_TRAILER = "<QQ"
 PARTS = "first_key string, last_key string, archive string, index string, records long"
 
 
@@ -125,7 +125,7 @@ def _write(batches, folder):
         payloads = utf8(get.pop("html"))
         for row, payload in zip(pa.RecordBatch.from_arrays(list(get.values()), names=list(get)).to_pylist(), payloads):
             if out is None:
-                out = system.open_output_stream(filesystem(name + ".warc.gz")[1])
+                out = system.open_output_stream(filesystem(name + ".warc.gz")[1], compression=None)
             packer = zlib.compressobj(4, zlib.DEFLATED, 31)
             data = packer.compress(record(row["kind"], row["page_id"], row["url"], row["digest"], payload, row["first"])) + packer.flush()
             out.write(data)
@@ -150,7 +150,7 @@ def pack_index(lines: list[tuple[str, int, int]], block_lines: int = BLOCK_LINES
         out.append(data)
         at += len(data)
     footer = zlib.compress(json.dumps(directory, ensure_ascii=False, separators=(",", ":")).encode(), 6)
-    return b"".join([*out, footer, _TRAILER.pack(at, len(footer))])
+    return b"".join([*out, footer, struct.pack(_TRAILER, at, len(footer))])
 
 
 class Part:
@@ -160,7 +160,7 @@ class Part:
         system, path = filesystem(index)
         self.index = system.open_input_file(path)
         size = self.index.size()
-        at, length = _TRAILER.unpack(self.index.read_at(_TRAILER.size, size - _TRAILER.size))
+        at, length = struct.unpack(_TRAILER, self.index.read_at(struct.calcsize(_TRAILER), size - struct.calcsize(_TRAILER)))
         self.directory = [tuple(x) for x in json.loads(zlib.decompress(self.index.read_at(length, at)))]
         self.archive = system.open_input_file(filesystem(archive)[1])
 
