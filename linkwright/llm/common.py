@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: The contract's word: a run of anything but space and U+0009..U+000D. bytes.split() cuts at the same six characters.
@@ -38,42 +41,108 @@ class Codes(dict):
         return code
 
 
-class WordIds(dict):
-    """White-space-free chunk -> its token ids as little-endian uint32 bytes, exactly as the tokenizer encodes it.
+def regrouped(batches, column: str = "text", most: int = 8 << 20):
+    """The same rows in record batches of about ``most`` bytes of a column, however Spark cut them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(column)).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and (merged := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield merged[0]
 
-    The tokenizers this is used with drop white space and never let a token, a
-    normalisation or a split pattern reach across it, so a text's ids are the
-    ids of its chunks in order. Chunks recur, so each is encoded once per worker
-    until ``most`` are held; then the table starts anew.
+
+class WordIds:
+    """Texts' token ids, exactly as the tokenizer encodes them.
+
+    The tokenizers this is used with drop white space, lower-case, and never let
+    a token, a normalisation or a split pattern reach across white space, so a
+    text's ids are the ids of its white-space-free chunks in order. Chunks recur:
+    a batch's distinct chunks are looked up once, and each is encoded once while
+    it is held. When ``most`` are young they become the old generation, from
+    which chunks that occur again are taken over.
+
+    A chunk of Latin-1 letters and then ASCII signs is two pre-tokens, encoded
+    (and held) apart; only other chunks are encoded as they stand.
     """
 
-    def __init__(self, path: str, most: int = 400_000, group: int = 2_000):
-        super().__init__()
+    SPLIT = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+
+    def __init__(self, path: str, most: int = 500_000, group: int = 500):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.group = most, group
-
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > self.most:
-            self.clear()
-        todo = [c for c in chunks if c not in self]
-        for i in range(0, len(todo), self.group):
-            part = todo[i : i + self.group]
-            texts = [c.decode("utf-8", "replace") for c in part]
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-            got = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        """This worker's table: Python workers serve many tasks, and sys outlives the pickled functions of each."""
+        held = sys.__dict__.setdefault("_linkwright_word_ids", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    def _encode(self, texts: list[str]) -> None:
+        for i in range(0, len(texts), self.group):
+            part = texts[i : i + self.group]
+            starts = np.cumsum([0] + [len(t) + 1 for t in part])
+            got = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
+            data = np.array(got.ids, "<u4").tobytes()
             at = np.array([o[0] for o in got.offsets], np.int64)
-            cuts = np.searchsorted(at, starts)
-            for k, c in enumerate(part):
-                self[c] = ids[cuts[k] : cuts[k + 1]].tobytes()
-
-    def encode(self, text_words: list[bytes]) -> bytes:
-        """The text's ids, joined. Call learn() with its chunks first."""
-        return b"".join(map(self.__getitem__, text_words))
+            cuts = (4 * np.searchsorted(at, starts)).tolist()
+            for k, t in enumerate(part):
+                self.parts[t] = data[cuts[k] : cuts[k + 1]]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        if len(self.parts) > 2 * self.most:
+            self.parts = {"": b""}
+        todo, new = [], set()
+        for c in chunks:
+            got = self.old.get(c)
+            if got is not None:
+                self.young[c] = got
+                continue
+            text = c.decode("utf-8", "replace")
+            m = self.SPLIT.fullmatch(text)
+            pieces = (m[1].lower(), m[2]) if m else (text,)
+            todo.append((c, pieces))
+            new.update(x for x in pieces if x not in self.parts)
+        self._encode(list(new))
+        for c, pieces in todo:
+            self.young[c] = self.parts[pieces[0]] + self.parts[pieces[1]] if len(pieces) == 2 else self.parts[pieces[0]]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, where each text's begin, with a last entry) of a string column; null is empty."""
+        split = pc.ascii_split_whitespace(column.cast(pa.string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.young.get, chunks))
+        missing = [c for c, ids in zip(chunks, found) if ids is None]
+        if missing:
+            before = self.young
+            self.learn(missing)
+            if before is self.young:
+                found = list(map(self.young.__getitem__, chunks))
+            else:  # a new generation began: what this batch had found is in the old one
+                found = [self.young[c] if ids is None else ids for c, ids in zip(chunks, found)]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = size[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(ends[-1]) + np.repeat(first[codes] - ends[:-1], sizes)
+        words = split.offsets.to_numpy()
+        return pool[at], ends[words - words[0]]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -18,17 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, bound_batches, tokenizer_path, utf8
+from .common import WordIds, bound_batches, regrouped, tokenizer_path
 
 
 def _lengths(batches, path, extra):
-    ids = WordIds(path)
-    for batch in batches:
-        texts = [t.split() for t in utf8(batch.column(0))]
-        ids.learn(set().union(*texts))
-        out = np.empty(len(texts), np.int64)
-        for i, words in enumerate(texts):
-            out[i] = len(ids.encode(words)) // 4 + extra
+    ids = WordIds.of(path)
+    for batch in regrouped(batches):
+        out = np.diff(ids.encode(batch.column(0))[1]) + extra
         yield pa.RecordBatch.from_arrays([pa.array(out)], names=["length"])
 
 

@@ -36,26 +36,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import WordIds, bound_batches, tokenizer_path, utf8
+from .common import WordIds, bound_batches, regrouped, tokenizer_path
 
 #: Tokens of a sequence; id that ends a document; groups of large lengths; what share of a sequence makes a length large; pieces of a rank shard.
 LIMIT, END, GROUPS, SMALL, SHARD = 4096, 1, 24, 1 / 6, 250_000
 
 
 def _pieces(batches, path, limit, end):
-    ids = WordIds(path)
+    ids = WordIds.of(path)
     tail = np.array([end], "<u4").tobytes()
-    for batch in batches:
-        texts = [t.split() for t in utf8(batch.column(1))]
-        ids.learn(set().union(*texts))
+    for batch in regrouped(batches):
+        flat, at = ids.encode(batch.column(1))
         row, piece, start, length, crc = [], [], [], [], []
-        for i, words in enumerate(texts):
-            data = ids.encode(words) + tail
-            for k, at in enumerate(range(0, len(data), 4 * limit)):
-                part = data[at : at + 4 * limit]
+        for i in range(batch.num_rows):
+            data = flat[at[i] : at[i + 1]].tobytes() + tail
+            for k, first in enumerate(range(0, len(data), 4 * limit)):
+                part = data[first : first + 4 * limit]
                 row.append(i)
                 piece.append(k)
-                start.append(at // 4)
+                start.append(first // 4)
                 length.append(len(part) // 4)
                 crc.append(zlib.crc32(part))
         yield pa.RecordBatch.from_arrays(
