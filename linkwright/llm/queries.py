@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, chat, html, lengths, mixing, packing, quality, rules, warc
+from . import ann, chat, html, jaccard, lengths, mixing, packing, quality, rules, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
         op3_chat_formatting,
         op4_quality_rules,
         op5_warc,
+        op6_ngram_jaccard,
         op7_packing,
         op8_token_counts,
         op9_html_extraction,
