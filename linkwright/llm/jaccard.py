@@ -45,11 +45,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_small, materialise
+from ..session import BROADCAST_ROWS, join_small, materialise
 from .common import bound_batches, regrouped
 
 #: Words of an n-gram; similarity as a fraction; groups of a count vector; classes that make a run hot; classes of a tile; points of a tree node.
-WORDS, NUMERATOR, DENOMINATOR, GROUPS, HOT, TILE, NODE = 5, 80, 100, 64, 96, 8_192, 16
+WORDS, NUMERATOR, DENOMINATOR, GROUPS, HOT, TILE, NODE = 5, 80, 100, 64, 32, 8_192, 16
+#: Fewest and most groups of the finer points that bound each found pair once more before its full sets are read; in between, half a set's size at least.
+FINE, FINEST = 256, 1 << 14
 #: An n-gram counts as common from this share of all documents; n-grams of a counting block; repeats within a block that are reported; most that travel with tasks.
 COMMON_SHARE, COUNT_BLOCK, REPEATS, MOST_COMMON = 1 / 1500, 2_000_000, 3, 1_000_000
 #: Classes whose hashes may be broadcast to pick texts.
@@ -101,6 +103,18 @@ def counts(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups), _FULL).astype(np.uint8)
 
 
+def fine_groups(n: int) -> int:
+    """Groups of a set's fine point: a power of two, so that a finer point folds onto a coarser one."""
+    return min(FINEST, max(FINE, 1 << max(0, (n // 2 - 1)).bit_length()))
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
+    """Summed coordinate minima of two fine points, folded to the coarser one's groups."""
+    g = min(len(a), len(b))
+    a, b = (np.where(x == _FULL, 1 << 24, x.astype(np.int64)).reshape(-1, g).sum(0) for x in (a, b))
+    return min(int(np.minimum(a, b).sum()), n, m)
+
+
 def enough(overlap, n, m):
     """Whether an overlap links sets of n and m."""
     return (NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (n + m)
@@ -197,7 +211,7 @@ def _sketch(batches, often):
     seen: set[int] = set()
     for batch in regrouped(batches):
         sets = grams(batch.column(1))
-        size, cls, keys, points = [], [], [], []
+        size, cls, keys, points, fine = [], [], [], [], []
         for s in sets:
             c = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
             size.append(len(s))
@@ -205,6 +219,7 @@ def _sketch(batches, often):
             if c in seen or not len(s):
                 keys.append(None)
                 points.append(None)
+                fine.append(None)
                 continue
             if len(seen) > 500_000:
                 seen.clear()
@@ -218,18 +233,19 @@ def _sketch(batches, often):
                 s_ordered = s
             keys.append(s_ordered[:p].tobytes())
             points.append(counts(s).tobytes())
+            fine.append(counts(s, fine_groups(len(s))).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.binary()), pa.array(points, pa.binary())],
-            names=["doc_id", "text_hash", "n", "cls", "keys", "point"],
+            [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, points, fine)]],
+            names=["doc_id", "text_hash", "n", "cls", "keys", "point", "fine"],
         )
 
 
 def sketch(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n, cls, and for a class's first document in a task its prefix and point."""
+    """doc_id, text_hash, n, cls, and for a class's first document in a task its prefix and its coarse and fine points."""
     bound_batches(docs.sparkSession, 512)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(lambda it: _sketch(it, often), f"doc_id {kind}, text_hash long, n long, cls long, keys binary, point binary")
+    return rows.mapInArrow(lambda it: _sketch(it, often), f"doc_id {kind}, text_hash long, n long, cls long, keys binary, point binary, fine binary")
 
 
 # --- runs ------------------------------------------------------------------------------------
@@ -384,6 +400,14 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(data, pa.binary())], names=["cls", "grams"])
 
 
+def _bounded(batches):
+    """Pairs whose fine points still let them link."""
+    for batch in batches:
+        columns = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+        keep = [bool(enough(overlap_bound(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), n, m), n, m)) for n, m, a, b in zip(*columns)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(batches):
     for batch in batches:
         keep = []
@@ -398,17 +422,32 @@ def _verify(batches):
 def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets link; only texts of classes in pairs are read into sets."""
     spark = docs.sparkSession
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-    text = sketches.filter("keys is not null").join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
-    text = materialise(text, "jaccard-texts").withColumnRenamed("text_hash", "_hash")
-    picked = join_small(docs.select("text", F.xxhash64("text").alias("text_hash")), text, F.col("text_hash") == F.col("_hash"), "left_semi", PICK)
+    first = sketches.filter("keys is not null")
+
+    def classes(pairs: DataFrame, name: str) -> DataFrame:
+        return materialise(pairs.select(F.explode(F.array("x", "y")).alias("_cls")).distinct(), name)
+
+    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    light = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    needed = classes(pairs, "jaccard-needed")
+    fine = join_small(first.select("cls", "n", "fine"), needed, F.col("cls") == F.col("_cls"), "left_semi")
+    fine = fine.groupBy("cls").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
+    side = lambda c: fine.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("fine").alias("f" + c))
+    bound_batches(spark, 1_000)
+    joined = side("x").join(light(pairs), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "fx", "fy")
+    pairs = materialise(joined.mapInArrow(_bounded, "x long, y long"), "jaccard-bounded")
+    needed = classes(pairs, "jaccard-needed")
+    text = join_small(first.select("cls", "doc_id", "text_hash"), needed, F.col("cls") == F.col("_cls"), "left_semi")
+    text = text.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select(F.col("one.doc_id").alias("_doc"), F.col("one.text_hash").alias("_hash"))
+    text = materialise(text.distinct(), "jaccard-texts")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
     bound_batches(spark, 512)
-    sets = materialise(picked.select("text").mapInArrow(_sets, "cls long, grams binary"), "jaccard-sets")
-    # a class is read by several tasks when its copies lie apart
-    sets = sets.groupBy("cls").agg(F.first("grams").alias("grams"))
-    x = sets.select(F.col("cls").alias("x"), F.col("grams").alias("gx"))
-    y = sets.select(F.col("cls").alias("y"), F.col("grams").alias("gy"))
-    return materialise(pairs.join(x, "x").join(y, "y").select("x", "y", "gx", "gy").mapInArrow(_verify, "x long, y long"), "jaccard-links")
+    # one row per class where ids are unique; repeated rows repeat their pairs, which distinct() takes back
+    sets = join_small(docs.select("doc_id", "text"), text, same, "left_semi", PICK).select("text").mapInArrow(_sets, "cls long, grams binary")
+    sets = materialise(sets, "jaccard-sets")
+    side = lambda c: sets.select(F.col("cls").alias(c), F.col("grams").alias("g" + c))
+    joined = side("x").join(light(pairs), "x").join(side("y"), "y").select("x", "y", "gx", "gy")
+    return materialise(joined.mapInArrow(_verify, "x long, y long").distinct(), "jaccard-links")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -470,8 +509,9 @@ def members(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
         rows = rows.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "cls", "at", "label", "point")
         more = rows.groupBy("key", "low", "high").applyInArrow(lambda t: _search_tile(t, GROUPS), "x long, y long").distinct()
         more = materialise(more.join(pairs, ["x", "y"], "left_anti"), "jaccard-pairs")
-        if not more.isEmpty():
-            labels = components(links.union(verified(more, sketches, docs)))
+        crossing = verified(more, sketches, docs)
+        if not crossing.isEmpty():
+            labels = components(links.union(crossing))
     rows = sketches.select("doc_id", "text_hash", "n", "cls")
     # the smallest id of each class first: partial aggregates, so a class of a third of all rows is a row a task
     least = rows.groupBy("cls").agg(F.min("doc_id").alias("first"))
