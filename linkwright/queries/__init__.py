@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scored",)
+MODULES = ("scored", "linkage", "learned")
 
 
 def load() -> tuple[dict, dict]:
