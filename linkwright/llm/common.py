@@ -23,6 +23,12 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def forget() -> None:
+    """Gives up what earlier operators' tasks left in this worker, so that stages do not add up in an executor's memory."""
+    sys.__dict__.pop("_linkwright_word_ids", None)
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes without decoding; null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

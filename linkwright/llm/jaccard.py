@@ -46,14 +46,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, join_small, materialise
-from .common import bound_batches, regrouped
+from .common import bound_batches, forget, regrouped
 
 #: Words of an n-gram; similarity as a fraction; groups of a count vector; classes that make a run hot; classes of a tile; points of a tree node.
 WORDS, NUMERATOR, DENOMINATOR, GROUPS, HOT, TILE, NODE = 5, 80, 100, 64, 32, 8_192, 16
 #: Fewest and most groups of the finer points that bound each found pair once more before its full sets are read; in between, half a set's size at least.
 FINE, FINEST = 256, 1 << 14
 #: An n-gram counts as common from this share of all documents; n-grams of a counting block; repeats within a block that are reported; most that travel with tasks.
-COMMON_SHARE, COUNT_BLOCK, REPEATS, MOST_COMMON = 1 / 1500, 2_000_000, 3, 1_000_000
+COMMON_SHARE, COUNT_BLOCK, REPEATS, MOST_COMMON = 1 / 1500, 1_000_000, 3, 1_000_000
+#: Bytes of text whose n-grams are made at a time; classes a task remembers having met.
+GRAM_BYTES, SEEN = 3 << 20, 100_000
 #: Classes whose hashes may be broadcast to pick texts.
 PICK = 1_000_000
 _FULL = 255  # a count of 255 or more
@@ -169,6 +171,7 @@ class RTree:
 
 
 def _common(batches, block, repeats):
+    forget()
     held, size, seen = [], 0, set()
 
     def flush():
@@ -176,7 +179,7 @@ def _common(batches, block, repeats):
         keep = n >= repeats
         return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["gram", "n"])
 
-    for batch in regrouped(batches):
+    for batch in regrouped(batches, most=GRAM_BYTES):
         for s in grams(batch.column(0)):
             key = s.tobytes() if len(s) < 4 else (len(s), int(s[0]), int(s[len(s) // 2]), int(s[-1]))
             if not len(s) or key in seen:
@@ -208,8 +211,9 @@ def common(docs: DataFrame, share: float = COMMON_SHARE, block: int = COUNT_BLOC
 def _sketch(batches, often):
     import xxhash
 
+    forget()
     seen: set[int] = set()
-    for batch in regrouped(batches):
+    for batch in regrouped(batches, most=GRAM_BYTES):
         sets = grams(batch.column(1))
         size, cls, keys, points, fine = [], [], [], [], []
         for s in sets:
@@ -221,7 +225,7 @@ def _sketch(batches, often):
                 points.append(None)
                 fine.append(None)
                 continue
-            if len(seen) > 500_000:
+            if len(seen) > SEEN:
                 seen.clear()
             seen.add(c)
             p = prefix(len(s))
@@ -242,7 +246,7 @@ def _sketch(batches, often):
 
 def sketch(docs: DataFrame, often: np.ndarray) -> DataFrame:
     """doc_id, text_hash, n, cls, and for a class's first document in a task its prefix and its coarse and fine points."""
-    bound_batches(docs.sparkSession, 512)
+    bound_batches(docs.sparkSession, 128)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(lambda it: _sketch(it, often), f"doc_id {kind}, text_hash long, n long, cls long, keys binary, point binary, fine binary")
@@ -386,13 +390,13 @@ def _sets(batches):
     import xxhash
 
     seen: set[int] = set()
-    for batch in regrouped(batches):
+    for batch in regrouped(batches, most=GRAM_BYTES):
         cls, data = [], []
         for s in grams(batch.column(0)):
             b = s.tobytes()
             c = xxhash.xxh3_64_intdigest(b) - (1 << 63)
             if c not in seen:
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(c)
                 cls.append(c)
@@ -433,7 +437,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFram
     fine = join_small(first.select("cls", "n", "fine"), needed, F.col("cls") == F.col("_cls"), "left_semi")
     fine = fine.groupBy("cls").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
     side = lambda c: fine.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("fine").alias("f" + c))
-    bound_batches(spark, 1_000)
+    bound_batches(spark, 256)
     joined = side("x").join(light(pairs), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "fx", "fy")
     pairs = materialise(joined.mapInArrow(_bounded, "x long, y long"), "jaccard-bounded")
     needed = classes(pairs, "jaccard-needed")
@@ -441,7 +445,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFram
     text = text.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select(F.col("one.doc_id").alias("_doc"), F.col("one.text_hash").alias("_hash"))
     text = materialise(text.distinct(), "jaccard-texts")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    bound_batches(spark, 512)
+    bound_batches(spark, 128)
     # one row per class where ids are unique; repeated rows repeat their pairs, which distinct() takes back
     sets = join_small(docs.select("doc_id", "text"), text, same, "left_semi", PICK).select("text").mapInArrow(_sets, "cls long, grams binary")
     sets = materialise(sets, "jaccard-sets")
@@ -484,10 +488,10 @@ def members(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
     often = common(docs)
     sketches = materialise(sketch(docs, often), "jaccard-sketch")
     points = sketches.filter("keys is not null")
-    bound_batches(spark, 2_000)
+    bound_batches(spark, 500)
     postings = points.select("cls", "n", "keys").mapInArrow(_postings, "key long, cls long, at long")
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    bound_batches(spark, 50_000)
+    bound_batches(spark, 20_000)
     shared = materialise(postings.repartition(slots, "key").sortWithinPartitions("key", "cls").mapInArrow(_shared, "key long, cls long, at long"), "jaccard-shared")
     vectors = points.groupBy("cls").agg(F.first("point").alias("point"))
     placed = shared.join(vectors, "cls").select("key", "cls", "at", "point")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, utf8
+from .common import bound_batches, forget, utf8
 
 #: Labelled documents of each class the fit may read; dictionary bytes of the text and shape views; block bytes; zstd level; bytes that one document may give a dictionary.
 PER_CLASS, TEXT_DICT, SHAPE_DICT, BLOCK, LEVEL, PER_DOC = 3_000, 512 << 10, 128 << 10, 4096, 3, 4096
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text_dic
 
 
 def _score(batches, model):
+    forget()
     made = Compressors(model) if model else None
     for batch in batches:
         texts = utf8(batch.column(batch.schema.get_field_index("text")))

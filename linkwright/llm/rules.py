@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, bound_batches, utf8
+from .common import Codes, bound_batches, forget, utf8
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted")
 #: (rule, when it fails) over the measures, in whole numbers; the bit is the place in this list.
@@ -95,6 +95,7 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def _measure(batches):
+    forget()
     for batch in batches:
         rows = np.array([measure(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))], np.int64).reshape(-1, len(MEASURES))
         kept = [i for i, n in enumerate(batch.schema.names) if n != "text"]
@@ -131,6 +132,7 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
 
 
 def _judge(batches, policy_mask):
+    forget()
     for batch in batches:
         rows = np.array([measure(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))], np.int64).reshape(-1, len(MEASURES))
         column = dict(zip(MEASURES, rows.T))
