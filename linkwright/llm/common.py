@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 #: The contract's word: a run of anything but space and U+0009..U+000D. bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch. Texts reach 100 KB and more, so the default of 10,000 rows is too many.
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 128, 8 << 20
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -26,7 +26,20 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def forget() -> None:
     """Gives up what earlier operators' tasks left in this worker, so that stages do not add up in an executor's memory."""
     sys.__dict__.pop("_linkwright_word_ids", None)
+    trim()
+
+
+def trim() -> None:
+    """Hands freed memory back to the system, which allocators else keep for this worker."""
+    import ctypes
+    import gc
+
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -47,6 +60,12 @@ class Codes(dict):
         return code
 
 
+#: Chunks of which a worker holds the token ids; fewer need less memory and more time.
+HELD = 500_000
+#: Bytes of text that are tokenized at a time, a held chunk.
+TOKEN_BYTES = 16
+
+
 def regrouped(batches, column: str = "text", most: int = 8 << 20):
     """The same rows in record batches of about ``most`` bytes of a column, however Spark cut them."""
     held, size = [], 0
@@ -76,7 +95,7 @@ class WordIds:
 
     SPLIT = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 500_000, group: int = 500):
+    def __init__(self, path: str, most: int = HELD, group: int = 500):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -88,12 +107,13 @@ class WordIds:
         self.parts: dict[str, bytes] = {"": b""}
 
     @classmethod
-    def of(cls, path: str) -> WordIds:
+    def of(cls, path: str, most: int) -> WordIds:
         """This worker's table: Python workers serve many tasks, and sys outlives the pickled functions of each."""
         held = sys.__dict__.setdefault("_linkwright_word_ids", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
+        if (path, most) not in held:
+            held.clear()
+            held[path, most] = cls(path, most)
+        return held[path, most]
 
     def _encode(self, texts: list[str]) -> None:
         for i in range(0, len(texts), self.group):

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, join_small, materialise
-from .common import bound_batches, forget, regrouped
+from .common import bound_batches, forget, regrouped, trim
 
 #: Words of an n-gram; similarity as a fraction; groups of a count vector; classes that make a run hot; classes of a tile; points of a tree node.
 WORDS, NUMERATOR, DENOMINATOR, GROUPS, HOT, TILE, NODE = 5, 80, 100, 64, 32, 8_192, 16
@@ -192,6 +192,8 @@ def _common(batches, block, repeats):
                 held, size, seen = [], 0, set()
     if held:
         yield flush()
+    held, seen = [], set()
+    trim()
 
 
 def common(docs: DataFrame, share: float = COMMON_SHARE, block: int = COUNT_BLOCK, repeats: int = REPEATS) -> np.ndarray:
@@ -242,6 +244,8 @@ def _sketch(batches, often):
             [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, points, fine)]],
             names=["doc_id", "text_hash", "n", "cls", "keys", "point", "fine"],
         )
+    seen.clear()
+    trim()
 
 
 def sketch(docs: DataFrame, often: np.ndarray) -> DataFrame:
@@ -256,6 +260,7 @@ def sketch(docs: DataFrame, often: np.ndarray) -> DataFrame:
 
 
 def _postings(batches):
+    trim()
     for batch in batches:
         cls, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         keys = batch.column(2).to_pylist()
@@ -267,6 +272,7 @@ def _postings(batches):
 
 def _shared(batches):
     """Of postings sorted by key and class: those of keys that two or more classes hold."""
+    trim()
     last = None  # (key, cls, at) of the last row, and whether its run has been reported
     told = False
     for batch in batches:
@@ -326,6 +332,7 @@ def _pairs_of_run(rows: list[tuple]) -> list[tuple[int, int]]:
 
 def _search_runs(batches, hot):
     """Of rows sorted by key and place: (0, x, y) for pairs that may link, (1, key, 0) for hot runs."""
+    trim()
     key, rows, leader = None, [], None
 
     def end(out):
@@ -387,6 +394,7 @@ def _search_tile(table: pa.Table, groups: int) -> pa.Table:
 
 
 def _sets(batches):
+    trim()
     import xxhash
 
     seen: set[int] = set()
@@ -406,6 +414,7 @@ def _sets(batches):
 
 def _bounded(batches):
     """Pairs whose fine points still let them link."""
+    trim()
     for batch in batches:
         columns = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
         keep = [bool(enough(overlap_bound(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), n, m), n, m)) for n, m, a, b in zip(*columns)]
@@ -413,6 +422,7 @@ def _bounded(batches):
 
 
 def _verify(batches):
+    trim()
     for batch in batches:
         keep = []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -445,7 +455,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFram
     text = text.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select(F.col("one.doc_id").alias("_doc"), F.col("one.text_hash").alias("_hash"))
     text = materialise(text.distinct(), "jaccard-texts")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    bound_batches(spark, 128)
+    bound_batches(spark, 64)
     # one row per class where ids are unique; repeated rows repeat their pairs, which distinct() takes back
     sets = join_small(docs.select("doc_id", "text"), text, same, "left_semi", PICK).select("text").mapInArrow(_sets, "cls long, grams binary")
     sets = materialise(sets, "jaccard-sets")
@@ -491,7 +501,7 @@ def members(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
     bound_batches(spark, 500)
     postings = points.select("cls", "n", "keys").mapInArrow(_postings, "key long, cls long, at long")
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    bound_batches(spark, 20_000)
+    bound_batches(spark, 10_000)
     shared = materialise(postings.repartition(slots, "key").sortWithinPartitions("key", "cls").mapInArrow(_shared, "key long, cls long, at long"), "jaccard-shared")
     vectors = points.groupBy("cls").agg(F.first("point").alias("point"))
     placed = shared.join(vectors, "cls").select("key", "cls", "at", "point")

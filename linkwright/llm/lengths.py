@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, bound_batches, regrouped, tokenizer_path
+from .common import HELD, TOKEN_BYTES, WordIds, bound_batches, regrouped, tokenizer_path
 
 
 def _lengths(batches, path, extra):
-    ids = WordIds.of(path)
-    for batch in regrouped(batches):
+    ids = WordIds.of(path, HELD)
+    for batch in regrouped(batches, most=TOKEN_BYTES * HELD):
         out = np.diff(ids.encode(batch.column(0))[1]) + extra
         yield pa.RecordBatch.from_arrays([pa.array(out)], names=["length"])
 

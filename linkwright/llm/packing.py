@@ -36,16 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import WordIds, bound_batches, regrouped, tokenizer_path
+from .common import HELD, TOKEN_BYTES, WordIds, bound_batches, regrouped, tokenizer_path, trim
 
 #: Tokens of a sequence; id that ends a document; groups of large lengths; what share of a sequence makes a length large; pieces of a rank shard.
 LIMIT, END, GROUPS, SMALL, SHARD = 4096, 1, 24, 1 / 6, 250_000
 
 
-def _pieces(batches, path, limit, end):
-    ids = WordIds.of(path)
+def _pieces(batches, path, limit, end, held):
+    trim()
+    ids = WordIds.of(path, held)
     tail = np.array([end], "<u4").tobytes()
-    for batch in regrouped(batches):
+    for batch in regrouped(batches, most=TOKEN_BYTES * held):
         flat, at = ids.encode(batch.column(1))
         row, piece, start, length, crc = [], [], [], [], []
         for i in range(batch.num_rows):
@@ -63,12 +64,12 @@ def _pieces(batches, path, limit, end):
         )
 
 
-def pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int = END, held: int = HELD) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
     bound_batches(docs.sparkSession)
     path = path or tokenizer_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, path, limit, end), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, path, limit, end, held), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:
@@ -209,10 +210,10 @@ def _place(batches, table):
         )
 
 
-def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int = END, groups: int = GROUPS, small: float = SMALL, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end: int = END, groups: int = GROUPS, small: float = SMALL, shard: int = SHARD, held: int = HELD) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, path, limit, end), "pack-pieces")
+    cut = materialise(pieces(docs, path, limit, end, held), "pack-pieces")
     by_length = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most ``limit`` rows
     shards = max(1, -(-sum(by_length.values()) // shard))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
