@@ -34,7 +34,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their place in a sequence."""
-    return packing.pack(docs)
+    return packing.pack(docs, held=60_000)  # beside what earlier stages leave in an executor's memory
 
 
 STAGES = [
