@@ -48,10 +48,12 @@ def as_rows(frame):
     """Sorted rows of a pandas frame, columns by name, missing values as None."""
     import math
 
+    import pandas as pd
+
     names = sorted(frame.columns)
 
     def plain(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return None
         if hasattr(v, "item"):
             v = v.item()
