@@ -70,8 +70,8 @@ def decide(pairs: DataFrame, rule: str, value: float, **names) -> DataFrame:
     return {"threshold": threshold, "expected": expected_f, "gated": gated}[rule](pairs, value, **names)
 
 
-def grid(pairs: DataFrame, truth: DataFrame, entities: DataFrame, thresholds=THRESHOLDS, floors=FLOORS, gates=GATES) -> DataFrame:
-    """rule, value, f05, n_links of every rule, in one plan.
+def grid(pairs: DataFrame, truth: DataFrame, entities: DataFrame, thresholds=THRESHOLDS, floors=FLOORS, gates=GATES, distractor_weight: float = 1.0, owned: DataFrame | None = None) -> DataFrame:
+    """rule, value, f05, n_links of every rule, in one plan; links to targets that ``owned`` (by default the truth) lacks weigh ``distractor_weight``.
 
     Exclusive assignment happens once over all entities, rivals included; then the
     entities asked for are kept, each pair is labelled once and carries the rules it
@@ -79,21 +79,26 @@ def grid(pairs: DataFrame, truth: DataFrame, entities: DataFrame, thresholds=THR
     """
     own = exclusive(pairs).withColumn("top", F.max("p").over(Window.partitionBy("q")))
     own = own.join(entities.select("q"), "q", "left_semi").join(truth.select("q", "t", F.lit(1).alias("y")), ["q", "t"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    weight = F.lit(1)
+    if distractor_weight != 1:
+        own = own.join((truth if owned is None else owned).select("t", F.lit(True).alias("owned")).distinct(), "t", "left")
+        weight = F.when(F.col("owned"), 1.0).otherwise(float(distractor_weight))
+    own = own.withColumn("w", weight)
     rules = [F.struct(F.lit(r).alias("rule"), F.lit(float(v)).alias("value"), keep.alias("keep")) for r, v, keep in [
         *[("threshold", v, F.col("p") >= v) for v in thresholds],
         *[("expected", v, F.col("p") >= v) for v in floors],
         *[("gated", v, (F.col("top") >= v) & (F.col("p") >= GATE_FLOOR)) for v in gates],
     ]]
-    each = own.select("q", "t", "p", "y", F.explode(F.filter(F.array(*rules), lambda r: r["keep"])).alias("r")).select("q", "t", "p", "y", "r.rule", "r.value")
+    each = own.select("q", "t", "p", "y", "w", F.explode(F.filter(F.array(*rules), lambda r: r["keep"])).alias("r")).select("q", "t", "p", "y", "w", "r.rule", "r.value")
     simple = each.filter("rule = 'threshold'")
     kept = simple.unionByName(expected_f_keep(each.filter("rule <> 'threshold'"), "p", ["rule", "value", "q"], "t"))
-    per = kept.groupBy("rule", "value", "q").agg(F.count(F.lit(1)).alias("n_pred"), F.sum("y").alias("tp"))
+    per = kept.groupBy("rule", "value", "q").agg(F.sum("w").alias("n_pred"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("tp"))
     # entities without predictions score 1 or 0 by their truth alone, so only sums are needed beyond the kept pairs
     sizes = entities.select("q").join(truth.groupBy("q").agg(F.count(F.lit(1)).alias("n_true")), "q", "left").withColumn("n_true", F.coalesce("n_true", F.lit(0)))
     scored = per.join(sizes, "q")
     p, r = F.col("tp") / F.col("n_pred"), F.col("tp") / F.col("n_true")
     f = F.when((F.col("n_true") == 0) | (F.col("tp") == 0), 0.0).otherwise((1 + BETA2) * p * r / (BETA2 * p + r))
-    sums = scored.groupBy("rule", "value").agg(F.sum(f).alias("f"), F.sum((F.col("n_true") == 0).cast("long")).alias("wrong"), F.sum("n_pred").alias("n_links"))
+    sums = scored.groupBy("rule", "value").agg(F.sum(f).alias("f"), F.sum((F.col("n_true") == 0).cast("long")).alias("wrong"), F.sum("n").alias("n_links"))
     base = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("n_true") == 0).cast("long")).alias("empty"))
     every = [("threshold", float(v)) for v in thresholds] + [("expected", float(v)) for v in floors] + [("gated", float(v)) for v in gates]
     wanted = pairs.sparkSession.createDataFrame(every, "rule string, value double")

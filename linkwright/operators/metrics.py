@@ -14,12 +14,12 @@ def links_per(links: DataFrame, name: str) -> DataFrame:
     return links.groupBy("q").agg(F.count(F.lit(1)).alias(name))
 
 
-def entity_scores(pred: DataFrame, truth: DataFrame, entities: DataFrame, distractor_weight: float = 1.0) -> DataFrame:
-    """q, n_true, n_pred, tp, precision, recall, f05 of every entity; links to targets that nobody owns weigh ``distractor_weight``."""
+def entity_scores(pred: DataFrame, truth: DataFrame, entities: DataFrame, distractor_weight: float = 1.0, owned: DataFrame | None = None) -> DataFrame:
+    """q, n_true, n_pred, tp, precision, recall, f05 of every entity; links to targets that ``owned`` (by default the truth) lacks weigh ``distractor_weight``."""
     labelled = pred.select("q", "t").join(truth.select("q", "t", F.lit(1).alias("y")), ["q", "t"], "left")
     if distractor_weight != 1:
-        owned = truth.select("t").distinct().withColumn("owned", F.lit(True))
-        labelled = labelled.join(owned, "t", "left").withColumn("w", F.when(F.col("owned"), 1.0).otherwise(float(distractor_weight)))
+        linked = (truth if owned is None else owned).select("t").distinct().withColumn("owned", F.lit(True))
+        labelled = labelled.join(linked, "t", "left").withColumn("w", F.when(F.col("owned"), 1.0).otherwise(float(distractor_weight)))
     else:
         labelled = labelled.withColumn("w", F.lit(1.0))
     per = labelled.groupBy("q").agg(F.sum("w").alias("n_pred"), F.sum(F.coalesce("y", F.lit(0))).alias("tp"))
@@ -30,9 +30,9 @@ def entity_scores(pred: DataFrame, truth: DataFrame, entities: DataFrame, distra
     return x.withColumns({"precision": p, "recall": r, "f05": f})
 
 
-def macro_f05(pred: DataFrame, truth: DataFrame, entities: DataFrame, distractor_weight: float = 1.0) -> DataFrame:
+def macro_f05(pred: DataFrame, truth: DataFrame, entities: DataFrame, distractor_weight: float = 1.0, owned: DataFrame | None = None) -> DataFrame:
     """f05, precision (of entities with links), recall (of entities with truth), f05 of singletons and others, n."""
-    x = entity_scores(pred, truth, entities, distractor_weight)
+    x = entity_scores(pred, truth, entities, distractor_weight, owned)
     return x.agg(
         F.avg("f05").alias("f05"),
         F.avg("precision").alias("precision"),

@@ -146,14 +146,14 @@ def entity_weights(rows: DataFrame, truth: DataFrame) -> DataFrame:
     return x.withColumn("w", F.when(F.col("y") == 1, fn_cost(F.col("_k"))).otherwise(fp_cost(F.col("_k")))).drop("_k")
 
 
-def shift_weights(rows: DataFrame, features: list[str], learner: PairClassifier | None = None, clip: tuple[float, float] = (0.1, 10.0)) -> DataFrame:
-    """Adds w: root of the odds that a row looks like the target domain (column domain: 1), by a weak two-fold classifier, clipped around the mean."""
+def shift_weights(rows: DataFrame, features: list[str], learner: PairClassifier | None = None, clip: tuple[float, float] = (0.1, 10.0), over: str = "true") -> DataFrame:
+    """Adds w: root of the odds that a row looks like the target domain (column domain: 1), by a weak two-fold classifier, clipped around the mean of the rows ``over``."""
     x = rows.withColumn("y_keep", F.col("y")).withColumn("y", F.col("domain")).withColumn("role", F.lit("FIT"))
     got = cross_fit(x, features, learner or Learner("logistic"), 2).transform(x, "_d")
     p = F.least(F.greatest("_d", F.lit(1e-6)), F.lit(1 - 1e-6))
     got = got.withColumn("_w", F.sqrt(p / (1 - p))).withColumn("y", F.col("y_keep"))
     got = materialise(got, "shift")
-    m = got.agg(F.avg("_w")).first()[0] or 1.0
+    m = got.filter(over).agg(F.avg("_w")).first()[0] or 1.0
     return got.withColumn("w", F.least(F.greatest(F.col("_w") / m, F.lit(clip[0])), F.lit(clip[1]))).drop("_w", "_d", "y_keep")
 
 

@@ -7,17 +7,18 @@ again by the next, so a lost executor or a new matcher never repeats a search.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import context, decide, learn, metrics, models, search, universe
+from ..operators import combine, context, decide, learn, metrics, models, search, universe
 from ..operators import features as pf
 from ..session import materialise
-from .registry import BLOCK, FEAT, MATCH, NORM, Versions
+from .registry import BLOCK, FEAT, MATCH, NORM, Match, Versions
 
 
 @dataclass
@@ -31,12 +32,24 @@ class Inputs:
 
 
 class Linkage:
-    """prep, block, features, train and predict over a folder of stage tables."""
+    """prep, block, features, train and predict over a folder of stage tables.
 
-    def __init__(self, spark: SparkSession, folder: str, versions: Versions = Versions(), learner: models.Learner | None = None, scope: str = "full"):
+    extra: scores (q, t, p) of the text scorers that the feature version names;
+    source: the run in this folder whose models a frozen matcher loads, by default
+    the same versions with the matcher it names.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, versions: Versions = Versions(), learner: models.Learner | None = None, scope: str = "full",
+        extra: dict[str, DataFrame] | None = None, source: Versions | None = None,
+    ):
+        self.extra = extra or {}
         self.spark, self.folder, self.v, self.scope = spark, folder.rstrip("/"), versions, scope
         self.norm, self.block, self.feat, self.match = NORM[versions.norm], BLOCK[versions.block], FEAT[versions.feat], MATCH[versions.match]
+        if self.match.monotone_min_corr:
+            raise NotImplementedError(f"{versions.match}: the learners of pyspark.ml take no monotone constraints")
         self.learner = learner or models.Learner(self.match.algo)
+        self.source = source or replace(versions, match=self.match.frozen_from)
         self.check_scope()
 
     def check_scope(self) -> None:
@@ -105,6 +118,8 @@ class Linkage:
         f = self.feat
 
         def make() -> DataFrame:
+            if lacking := [n for n in f.extra if n not in self.extra]:
+                raise ValueError(f"{self.v.feat} needs the scores of {', '.join(lacking)}")
             a, b = q, t
             extra: tuple[str, ...] = ()
             if f.distinct:
@@ -125,47 +140,115 @@ class Linkage:
             if f.twin_flag:
                 rows = rows.withColumn("addr_twin_num_diff", pf.twin_flag(F.col("cos_addr"), F.col("num_jacc")))
             keep = [c for c, kind in rows.dtypes if kind in ("double", "int", "bigint", "float") and c not in ("q", "t", "src")]
-            return rows.select("q", "t", "src", "country", *[F.col(c).cast("double").alias(c) for c in keep])
+            rows = rows.select("q", "t", "src", "country", *[F.col(c).cast("double").alias(c) for c in keep])
+            if f.extra:
+                rows, missing = combine.extra_scores(rows, {n: self.extra[n] for n in f.extra})
+                self.table("features", "extra_missing", lambda: missing)
+            for n in f.extra if f.extra_context else ():
+                seen = context.score_context(self.extra[n].select("q", "t", F.col("p").alias(n)), n).drop(n)
+                rows = rows.join(seen.select("q", "t", *[F.col(c).cast("double").alias(c) for c in seen.columns if c not in ("q", "t")]), ["q", "t"], "left")
+            return rows
 
         return self.table("features", "pairs", make)
 
+    def fit(self, stage: str, rows: DataFrame, names: list[str], folds: int, weight: str | None) -> models.CrossFit:
+        """The stage's fold models: fitted and saved beside the scores, or loaded from the frozen run."""
+        if self.match.frozen_from:
+            path = f"{self.folder}/{self.source.key('scores')}/models/{stage}"
+            try:
+                self.spark.read.text(f"{path}-0/metadata")
+            except AnalysisException as e:
+                raise FileNotFoundError(f"{self.v.match} needs the saved models {path}-*") from e
+            loaded = [PipelineModel.load(f"{path}-{i}") for i in range(folds)]
+            used = list(loaded[0].stages[0].getInputCols())
+            if lacking := [c for c in used if c not in names]:
+                raise ValueError(f"{self.v.match}: the frozen models need {', '.join(lacking)}")
+            return models.CrossFit(loaded, used, folds)
+        got = models.cross_fit(rows.filter("y is not null"), names, self.learner, folds, weight)
+        for i, m in enumerate(got.models):
+            models.save(m, f"{self.folder}/{self.v.key('scores')}/models/{stage}-{i}")
+        return got
+
+    def fitted(self, m: Match, rows: DataFrame, names: list[str], t: DataFrame, weight: str | None = None, tag: str = "") -> DataFrame:
+        """q, t, src, country, p of all rows by one or two stages; rows without y are scored only."""
+        if m.stages == 1:
+            return self.fit(f"stage1{tag}", rows, names, m.folds, weight).transform(rows, "p").select("q", "t", "src", "country", "p")
+        first = materialise(self.fit(f"stage1{tag}", rows, names, m.folds, weight).transform(rows, "p1"), "stage-1")
+        more = [*names, "p1", "rank_q", "rank_src", "rank_t", "best_other_q", "best_other_src", "best_other_t", "sum_q", "n05_q", "n_t", "margin_t", "margin_q"]
+        seen = context.probability_context(first, "p1")
+        if m.support:
+            sup = pf.support_features(first.select("q", "t", "src", F.col("p1").alias("p")), t).drop("src", "p")
+            more += [c for c in sup.columns if c.startswith("sup_")]
+            seen = seen.join(sup, ["q", "t"])
+        seen = materialise(seen, "stage-2-rows")
+        return self.fit(f"stage2{tag}", seen, more, m.folds, weight).transform(seen, "p").select("q", "t", "src", "country", "p")
+
+    def unseen(self, rows: DataFrame) -> list[str]:
+        """Countries of the rows without an entity to fit on: what adapting matchers adapt to."""
+        fit = F.max(F.col("role").isin("FIT", "ES").cast("int"))
+        found = [r.country for r in rows.groupBy("country").agg(fit.alias("fit")).filter("fit = 0").collect()]
+        if not found:
+            raise ValueError(f"{self.v.match} adapts to countries without an entity to fit on, and there is none")
+        return found
+
+    def blended(self, x: Inputs, feats: DataFrame, t: DataFrame) -> DataFrame:
+        """Mean score of the member matchers, each with its own learner."""
+        runs = []
+        for name in self.match.blend_of:
+            learner = replace(self.learner, algo=MATCH[name].algo) if isinstance(self.learner, models.Learner) else None
+            runs.append(Linkage(self.spark, self.folder, replace(self.v, match=name), learner, self.scope, self.extra).scores(x, feats, t))
+        return combine.blend(runs).join(feats.select("q", "t", "src", "country"), ["q", "t"]).select("q", "t", "src", "country", "p")
+
     def scores(self, x: Inputs, feats: DataFrame, t: DataFrame) -> DataFrame:
-        m = self.match
+        m = MATCH[self.match.frozen_from] if self.match.frozen_from else self.match
         names = [c for c in feats.columns if c not in ("q", "t", "src", "country")]
 
         def make() -> DataFrame:
+            if m.blend_of:
+                return self.blended(x, feats, t)
             rows = universe.labels(feats, x.truth).join(x.roles, "q")
             if m.fit_rest:
                 rows = rows.withColumn("role", F.when(F.col("role") == "REST", "FIT").otherwise(F.col("role")))
             if m.train_countries:
-                rows = rows.withColumn("role", F.when((F.col("role") == "FIT") & ~F.col("country").isin(*m.train_countries), "REST").otherwise(F.col("role")))
+                rows = rows.withColumn("role", F.when(F.col("role").isin("FIT", "ES") & ~F.col("country").isin(*m.train_countries), "REST").otherwise(F.col("role")))
             weight = None
             if m.distractor_weight != 1:
                 rows, weight = models.distractor_weights(rows, x.truth, m.distractor_weight), "w"
             elif m.entity_weight:
                 rows, weight = models.entity_weights(rows, x.truth), "w"
             rows = materialise(rows, "train-rows")
-            if m.stages == 1:
-                return models.cross_fit(rows, names, self.learner, m.folds, weight).transform(rows, "p").select("q", "t", "src", "country", "p")
-            first = materialise(models.cross_fit(rows, names, self.learner, m.folds, weight).transform(rows, "p1"), "stage-1")
-            more = [*names, "p1", "rank_q", "rank_src", "rank_t", "best_other_q", "best_other_src", "best_other_t", "sum_q", "n05_q", "n_t", "margin_t", "margin_q"]
-            seen = context.probability_context(first, "p1")
-            if m.support:
-                sup = pf.support_features(first.select("q", "t", "src", F.col("p1").alias("p")), t).drop("src", "p")
-                more += [c for c in sup.columns if c.startswith("sup_")]
-                seen = seen.join(sup, ["q", "t"])
-            seen = materialise(seen, "stage-2-rows")
-            return models.cross_fit(seen, more, self.learner, m.folds, weight).transform(seen, "p").select("q", "t", "src", "country", "p")
+            if m.covshift:
+                away = F.col("country").isin(*self.unseen(rows))
+                both = rows.filter(away | F.col("role").isin("FIT", "ES")).withColumn("domain", away.cast("int"))
+                shift = models.shift_weights(both, names, over="domain = 0").select("q", "t", F.col("w").alias("_shift"))
+                rows = rows.join(shift, ["q", "t"], "left").withColumn("w", F.coalesce("_shift", F.lit(1.0)) * (F.col("w") if weight else F.lit(1.0)))
+                rows, weight = materialise(rows.drop("_shift"), "train-rows"), "w"
+            got = self.fitted(m, rows, names, t, weight)
+            if not m.self_train:
+                return got
+            if weight or m.support or m.stages != 2:
+                raise ValueError("self-training needs the plain two-stage matcher: no weights, no support features")
+            away = F.col("country").isin(*self.unseen(rows))
+            sure = models.pseudo_labels(materialise(got, "self-train"), *m.self_train, p="p").filter(away).select("q", "t", F.col("y").alias("_sure"))
+            again = rows.join(sure, ["q", "t"], "left").withColumn("y", F.when(away, F.col("_sure")).otherwise(F.col("y"))).drop("_sure")
+            again = materialise(again.withColumn("role", F.when(away, "FIT").otherwise(F.col("role"))), "train-rows")
+            return self.fitted(m, again, names, t, tag="-self")
 
         return self.table("scores", "pairs", make)
 
     def predict(self, x: Inputs, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(chosen links of all entities by the rule that is best on held-out ones, the grid of rules)."""
+        """(chosen links of all entities by the rule that is best on held-out ones, the grid of rules).
+
+        A matcher with eval_dup counts links to targets that nobody owns twice.
+        """
         held = x.roles.filter("role = 'EVAL'").select("q")
-        table = materialise(decide.grid(scores, x.truth.join(held, "q", "left_semi"), held), "grid")
+        table = materialise(decide.grid(scores, x.truth.join(held, "q", "left_semi"), held, distractor_weight=self.doubled(), owned=x.truth), "grid")
         best = decide.best_rule(table).first()
         return decide.decide(scores, best["rule"], best["value"]), table
 
+    def doubled(self) -> float:
+        return 2.0 if self.match.eval_dup else 1.0
+
     def run(self, x: Inputs) -> dict[str, DataFrame]:
         q, t = self.prep(x)
         cand = self.candidates(x, q, t)
@@ -176,5 +259,5 @@ class Linkage:
             "links": links,
             "rules": table,
             "recall": metrics.recall_report(cand, x.truth),
-            "quality": metrics.macro_f05(links.join(held, "q", "left_semi"), x.truth.join(held, "q", "left_semi"), held),
+            "quality": metrics.macro_f05(links.join(held, "q", "left_semi"), x.truth.join(held, "q", "left_semi"), held, self.doubled(), x.truth),
         }
