@@ -7,7 +7,8 @@ two ratios. Both are smoothed over the paths that follow each other on the page,
 fused by their product, and thresholded. The paths that pass vote, by fused
 score, for the innermost element that holds most of it; blocks there are content
 unless their path is mostly links, so a one-word paragraph between long ones and
-the heading above them stay. What the page itself declares as something else
+the heading above them stay. Where an <article> or <main> is declared, its paths
+that pass are the content, with the headings right above, and no vote is taken. What the page itself declares as something else
 (navigation, forms, scripts, hidden parts, elements named as adverts, notices,
 comments and the like) never enters the ratios.
 
@@ -51,26 +52,39 @@ NOISE_WORDS = frozenset(
     "header masthead footer cookie cookies consent gdpr notice notices alert banner popup modal overlay newsletter subscribe subscription signup share sharing "
     "social related recommended recommendations comment comments disqus reply replies responses respond widget complementary contentinfo search pagination pager toolbar".split()
 )
-#: Such words beside them mean a layout around the article.
-LAYOUT_WORDS = frozenset("content main article post page wrapper container layout body story entry with has no".split())
+#: Before such a word in one class, these speak of the layout around it (has-sidebar), or of what a post is filed under (tag-social).
+AROUND = frozenset("with has no without tag category".split())
+#: An element's own head: entry-header holds a heading.
+OWN_HEADERS = frozenset("article post page story entry content main".split())
+_HEADING = re.compile("h[1-6]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Weights of a path's smoothing window; share of the mean fused score that selects; share of selected score an element must hold; link share above which a path is a menu.
 SMOOTH, SELECT, HOLD, LINKS = (0.25, 0.5, 0.25), 0.5, 0.6, 0.6
 
 
-def _noise(tag: str, attributes: str) -> bool:
+def _named_noise(value: str, first: bool) -> bool:
+    """Whether a class, id or role names noise: comment-body does, has-sidebar and entry-header do not. ``first``: only a name that begins with it."""
+    for name in value.split():
+        words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+        for before, word in zip(["", *words], words[:1] if first else words):
+            if word in NOISE_WORDS and before not in AROUND and not (word == "header" and before in OWN_HEADERS):
+                return True
+    return False
+
+
+def _noise(tag: str, attributes: str, nested: bool) -> bool:
+    """``nested``: inside an article or main. The outermost of them counts as noise by name alone."""
     if tag in NOISE:
         return True
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
+    if tag in ("html", "body") or not attributes.strip():
         return False
+    outer = tag in CONTENT and not nested
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
+        if not outer and (name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value)):
+            return True
+        if name in ("class", "id", "role") and _named_noise(value, tag in CONTENT):
             return True
-        if name in ("class", "id", "role"):
-            found = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
-            if found & NOISE_WORDS and not found & LAYOUT_WORDS:
-                return True
     return False
 
 
@@ -158,7 +172,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if k >= 0 and stack[k][0] in ends:
                     while len(stack) > k:
                         pop()
-        noise = _noise(tag, attributes)
+        noise = _noise(tag, attributes, any(t in CONTENT for t, _, _ in stack))
         if tag == "header" and any(t in CONTENT for t, _, _ in stack):
             noise = False  # an article's own header holds its heading
         stack.append((tag, noise, "" if tag in INLINE else tag))
@@ -177,7 +191,7 @@ def content(found: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
         s = paths.setdefault(path, [0, 0, 0, 0])
         s[0] += len(text)
         s[1] += len(_PUNCTUATION.findall(text))
-        s[2] += linked
+        s[2] += 0 if CONTENT & set(path) else linked  # links of a declared body are text
         s[3] += 1
     order = list(paths)
     ratio = [(max(0.0, c - x) / n, (u if x <= LINKS * c else 0) / n) for c, u, x, n in paths.values()]
@@ -195,7 +209,13 @@ def content(found: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
         chosen = {p: 1.0 for p in order if p not in menus}
     declared = [p for p in chosen if CONTENT & set(p)]
     if declared:
-        return [t for p, t, _ in found if CONTENT & set(p) and p not in menus]
+        kept: list[str] = []
+        below = False  # whether the block below is kept; a heading goes with it
+        for p, t, _ in reversed(found):
+            below = bool(CONTENT & set(p)) and (p in chosen or below and bool(_HEADING.fullmatch(p[-1])))
+            if below:
+                kept.append(t)
+        return kept[::-1]
     held: dict[tuple[str, ...], float] = {}
     for p, f in chosen.items():
         for k in range(len(p)):

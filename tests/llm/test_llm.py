@@ -334,6 +334,31 @@ def test_html_cases(page, want):
     assert html.main_text(page) == want
 
 
+_LONG = "<p>Long, real text; it goes on, and on. More, of it.</p>" * 6
+_TEXT = "\n\n".join(["Long, real text; it goes on, and on. More, of it."] * 6)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # an unnamed advert in the article, whose path does not pass
+        (f"<article><h1>T</h1>{_LONG}<h2>More</h2>{_LONG}<div class=x7f>Buy now</div></article>", f"T\n\n{_TEXT}\n\nMore\n\n{_TEXT}"),
+        # comments as nested articles, and noise words beside layout words
+        (f"<article>{_LONG}<article class=comment><p>I like it, really. Good, good.</p></article></article>", _TEXT),
+        (f"<article>{_LONG}<div class=comment-body><p>I like it, really. Good, good.</p></div></article>", _TEXT),
+        (f"<div class=cookie-container><p>We use cookies, many. Accept, please.</p></div><article>{_LONG}</article>", _TEXT),
+        (f"<article>{_LONG}<div class=ad-wrapper><p>Buy, now. Cheap, cheap.</p></div></article>", _TEXT),
+        # words of the layout around the article name no noise
+        (f"<main class='content has-sidebar'><div class=entry-header><h1>T</h1></div>{_LONG}</main>", "T\n\n" + _TEXT),
+        (f"<article class='post tag-social'>{_LONG}</article>", _TEXT),
+        # a list of links in the article's body
+        (f"<article>{_LONG}<ul><li><a href=x>First source of it all</a><li><a href=y>Second source</a></ul></article>", _TEXT + "\n\nFirst source of it all\n\nSecond source"),
+    ],
+)
+def test_html_scores_decide_in_articles(page, want):
+    assert html.main_text(page) == want
+
+
 # 10
 def test_ann(spark, sf):
     base = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
