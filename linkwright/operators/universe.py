@@ -42,13 +42,21 @@ def train_frames(entities: DataFrame, targets: DataFrame, truth: DataFrame, role
     return q, t.unionByName(more)
 
 
-def copy_candidates(candidates: DataFrame, copies: DataFrame, k: int, score: str = "bscore") -> DataFrame:
-    """A row for every copy of a candidate distractor, cut to the best k per (q, src) again."""
+def copy_candidates(candidates: DataFrame, copies: DataFrame, k: int, k_noaddr: int | None = None, score: str = "bscore") -> DataFrame:
+    """A row for every copy of a candidate distractor, cut to the best per (q, src) again: k of the main pass, k_noaddr of the name-only one.
+
+    Candidates without noaddr_pass come from one pass. Originals win ties with their copies.
+    """
     from .context import rank
 
     more = candidates.join(copies.select("t", "t_copy"), "t").withColumn("t", F.col("t_copy")).select(*candidates.columns)
     both = candidates.unionByName(more)
-    return both.withColumn("_r", rank(["q", "src"], score, "t")).filter(F.col("_r") <= k).drop("_r")
+    by, most = ["q", "src"], F.lit(k)
+    if "noaddr_pass" in candidates.columns:
+        if k_noaddr is None:
+            raise ValueError("candidates of two passes need k_noaddr")
+        by, most = [*by, "noaddr_pass"], F.when(F.col("noaddr_pass"), k_noaddr).otherwise(k)
+    return both.withColumn("_r", rank(by, score, "t")).filter(F.col("_r") <= most).drop("_r")
 
 
 def owner_join(pairs: DataFrame, truth: DataFrame) -> DataFrame:

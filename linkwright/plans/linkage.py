@@ -20,6 +20,9 @@ from ..operators import features as pf
 from ..session import materialise
 from .registry import BLOCK, FEAT, MATCH, NORM, Match, Versions
 
+#: Ids of copied distractors: the original's and a multiple of this.
+SHIFT = 1 << 40
+
 
 @dataclass
 class Inputs:
@@ -103,8 +106,8 @@ class Linkage:
                 regions = (named(qs, qk), named(ts, tk), split)
             got = search.generate_candidates(qs, ts, b.search, regions)
             if b.dup_distractors > 1:
-                copies = universe.distractor_copies(ts.select("t"), x.truth, b.dup_distractors, 1 << 40)
-                got = universe.copy_candidates(got, copies, b.search.k)
+                copies = universe.distractor_copies(ts.select("t"), x.truth, b.dup_distractors, SHIFT)
+                got = universe.copy_candidates(got, copies, b.search.k, b.search.k_noaddr)
             return got
 
         got = self.table("block", "candidates", make)
@@ -114,6 +117,17 @@ class Linkage:
         cheap = ["bscore", "cos_name", "cos_addr"]
         return self.table("block", "filtered", lambda: models.candidate_filter(rows, cheap, b.prune_keep)[0].select(*got.columns, "p_block"))
 
+    def universe(self, x: Inputs, q: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both sides as features see them: with copied distractors, the universe that was searched and a record for every copy."""
+        b = self.block
+        if b.dup_distractors == 1:
+            return q, t
+        qs, ts = q.withColumn("q", F.col("rid")), t.withColumn("t", F.col("rid"))
+        if b.keep_nonevals < 1:
+            qs, ts = universe.train_universe(qs, ts, x.truth, x.roles, b.keep_nonevals)
+        copies = universe.distractor_copies(ts, x.truth, b.dup_distractors, SHIFT).withColumn("rid", F.col("t_copy"))
+        return qs.select(*q.columns), ts.select(*t.columns).unionByName(copies.select(*t.columns))
+
     def features(self, q: DataFrame, t: DataFrame, cand: DataFrame) -> DataFrame:
         f = self.feat
 
@@ -252,6 +266,7 @@ class Linkage:
     def run(self, x: Inputs) -> dict[str, DataFrame]:
         q, t = self.prep(x)
         cand = self.candidates(x, q, t)
+        q, t = self.universe(x, q, t)
         scores = self.scores(x, self.features(q, t, cand), t)
         links, table = self.predict(x, scores)
         held = x.roles.filter("role = 'EVAL'").select("q")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.kernels import similarities, similarity
 from ..operators import features as pf
-from ..operators import learn, metrics, search
+from ..operators import learn, metrics, search, universe
 from ..session import materialise, table
 from ..sources import records as rec
 from ..sources.views import entities, records, scored, truth_of, with_views
@@ -404,6 +404,19 @@ def pass_merge(spark, d):
     return rounded(candidates(spark, d).select("q", "t", "src", "bscore", "noaddr_pass"), "bscore")
 
 
+_COPIED = """SELECT q, t, src, round(bscore, 6) AS bscore, noaddr_pass FROM (SELECT *, row_number() OVER (PARTITION BY q, src, noaddr_pass ORDER BY bscore DESC, t) AS r FROM (
+  SELECT q, t, src, bscore, noaddr_pass FROM cand UNION ALL SELECT q, t + 1000000000000, src, bscore, noaddr_pass FROM cand ANTI JOIN links USING (t))) WHERE r <= CASE WHEN noaddr_pass THEN 3 ELSE 10 END"""
+
+
+@register("copy_candidates_passes", over_norm(_COPIED, **_feats(NOVAR), **_NOADDR, **_MERGED))
+def copy_candidates_passes(spark, d):
+    """Copies of the distractors among candidates of both passes, each pass cut by itself."""
+    q, t = sides(spark, d)
+    copies = universe.distractor_copies(t.select(F.col("rid").alias("t")), links_of(q, t), 2, 1_000_000_000_000)
+    got = universe.copy_candidates(candidates(spark, d), copies, NOVAR.k, NOVAR.k_noaddr)
+    return rounded(got.select("q", "t", "src", "bscore", "noaddr_pass"), "bscore")
+
+
 _REGION = {
     "gs": "SELECT rid, list(DISTINCT k) AS ks FROM reckeys GROUP BY rid",
     "seen": f"""SELECT q, t, src, cos_name + cos_addr AS bscore FROM prod LEFT JOIN gs a ON a.rid = q LEFT JOIN gs b ON b.rid = t

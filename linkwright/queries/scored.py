@@ -474,7 +474,7 @@ def train_frames(spark, d):
 )
 def copy_candidates(spark, d):
     copies = universe.distractor_copies(targets(spark, d), truth_of(spark, d), 2, 100_000_000)
-    got = universe.copy_candidates(scored(spark, d).select("q", "t", "p", "src"), copies, 20, "p")
+    got = universe.copy_candidates(scored(spark, d).select("q", "t", "p", "src"), copies, 20, score="p")
     return rounded(got.select("q", "t", "src", "p"), "p")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkwright.functions import text
-from linkwright.operators import decide, models
+from linkwright.operators import decide, models, universe
 from linkwright.plans.linkage import Inputs, Linkage
 from linkwright.plans.registry import resolve
 
@@ -86,3 +86,23 @@ def test_text_scores_enter_features(spark, tmp_path):
     assert got[1, 11].ce1_margin_q == 0.5 and got[1, 12].ce2_rank_q == 2
     less = Linkage(spark, f"file://{tmp_path}/run", resolve(feat="FEAT-v6"), extra={"ce1": s}).features(text.normalize(q), text.normalize(t), cand)
     assert "ce1" in less.columns and "ce1_rank_q" not in less.columns
+
+
+def test_copies_are_cut_by_pass(spark, tmp_path):
+    """A full main list and its copies leave the name-only list alone, and every copy has features."""
+    schema = "q long, t long, src int, bscore double, noaddr_pass boolean, cos_name double, cos_addr double"
+    rows = [(1, 10 + i, 2, 1.9 - i / 10, False, 0.9, 1.0 - i / 10) for i in range(4)] + [(1, 20 + i, 2, 0.8 - i / 10, True, 0.8 - i / 10, 0.0) for i in range(3)]
+    truth = spark.createDataFrame([(1, 11), (1, 21)], "q long, t long")
+    cand = spark.createDataFrame(rows, schema)
+    copies = universe.distractor_copies(cand.select("t"), truth, 2, 1 << 40)
+    got = universe.copy_candidates(cand, copies, 4, 3)
+    assert sorted((r.noaddr_pass, r.t % (1 << 40)) for r in got.collect()) == [(False, 10), (False, 10), (False, 11), (False, 12), (True, 20), (True, 20), (True, 21)]
+    with pytest.raises(ValueError):
+        universe.copy_candidates(cand, copies, 4)
+    record = "rid long, country string, src int, business_name string, business_address string"
+    q = text.normalize(spark.createDataFrame([(1, "a", 1, "red mill", "1 road")], record))
+    t = text.normalize(spark.createDataFrame([(r[1], "a", 2, f"red mill {r[1]}", "1 road") for r in rows], record))
+    x = Inputs(None, None, truth, spark.createDataFrame([(1, "EVAL")], "q long, role string"))
+    plan = Linkage(spark, f"file://{tmp_path}/run", resolve("doubled"))
+    feats = plan.features(*plan.universe(x, q, t), got)
+    assert feats.count() == 7 and feats.filter(F.col("t") >= 1 << 40).count() == 2
