@@ -100,7 +100,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most, self.group = most, group
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}

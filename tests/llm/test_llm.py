@@ -280,6 +280,18 @@ def test_tokens_are_exact(text):
     assert ids[at[1] : at[2]].tolist() == want and at[3] == at[2]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y<|startoftext|>.", "<|ENDOFTEXT|> <|endoftext", "end.<|endoftext|>\n<|endoftext|>"])
+def test_added_tokens_are_exact(text):
+    test_tokens_are_exact(text)
+
+
+def test_packing_keeps_added_tokens(spark):
+    rows = [(9001, "it's DON'T 'll é İ ſ Σας 12,5€ 你好  x <|endoftext|>"), (9002, "<|startoftext|>one two<|endoftext|>three"), (9003, "one two")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), shard=50).toPandas()
+    want = {(i, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for (i, _), ids in zip(rows, brute_ids([x for _, x in rows]))}
+    assert set(zip(got.doc_id, got.start, got.length, got.ids_crc32)) == want
+
+
 def test_plan_places_everything():
     rng = np.random.default_rng(0)
     counts = collections.Counter(np.clip(rng.lognormal(6, 1.3, 20_000).astype(int) + 1, 1, 4096).tolist())
