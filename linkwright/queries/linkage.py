@@ -708,53 +708,51 @@ def jaro_winkler(spark, d):
     return x.select("a", "b", F.round(similarity("jaro_winkler", F.col("a"), F.col("b")), 6).alias("jw"))
 
 
-@register("fuzz_suite")
-def fuzz_suite(spark, d):
-    """Every string kernel over the names of candidate pairs."""
-    names = table(spark, d, "part").select("p_brand", "p_name").distinct()
-    x = names.select("p_brand", F.col("p_name").alias("a")).join(names.select("p_brand", F.col("p_name").alias("b")), "p_brand").filter("a < b")
-    specs = {k: (k, "a", "b") for k in ("ratio", "token_sort", "token_set", "partial", "jaro_winkler")}
-    return rounded(x.withColumn("s", similarities(specs)).select("p_brand", "a", "b", "s.*"), *specs)
+def _spread(spark, pairs: DataFrame) -> DataFrame:
+    """Few pairs of long texts, dealt to all cores for the kernels."""
+    return pairs.repartition(4 * spark.sparkContext.defaultParallelism)
 
 
-def _part_pairs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Parts as entities and as targets of their brand: short names, for the costly kernels."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("rid"), F.col("p_brand").alias("country"), F.col("p_name").alias("business_name"), F.concat_ws(" ", "p_size", "p_type", F.col("p_retailprice").cast("int")).alias("business_address"))
-    x = materialise(text.normalize(p), "parts")
-    pairs = scored(spark, d).select("q", F.col("t").alias("order"), "p", "src")
-    both = pairs.join(pairs.select(F.col("q").alias("t"), "order"), "order").filter("q < t").groupBy("q", "t").agg(F.max("p").alias("p"), F.min("src").alias("src"))
-    return x, both, pf.with_records(both, x, x)
+@register("fuzz_suite")
+def fuzz_suite(spark, d):
+    """Every string kernel over the names of candidate pairs, and all but Jaro-Winkler, a kernel of names, over their addresses."""
+    x = _spread(spark, pairs_of(spark, d)[2])
+    specs = {f"{s}_{k}": (k, f"a_{c}", f"b_{c}") for s, c in (("name", "name_n"), ("addr", "addr_n")) for k in ("ratio", "token_sort", "token_set", "partial")}
+    specs["name_jaro_winkler"] = ("jaro_winkler", "a_name_n", "b_name_n")
+    return rounded(x.withColumn("s", similarities(specs)).select("q", "t", "s.*"), *specs)
 
 
 @register("kernel_features")
 def kernel_features(spark, d):
-    """All name, address and alias similarities of parts that share an order."""
-    x = pf.kernel_features(_part_pairs(spark, d)[2])
+    """All name, address and alias similarities of candidate pairs."""
+    x = pf.kernel_features(_spread(spark, pairs_of(spark, d)[2]))
     names = [*pf.NAME_KERNELS, *pf.ADDR_KERNELS, "alias_best"]
     return rounded(x.select("q", "t", *names), *names)
 
 
 @register("align_features")
 def align_features(spark, d):
-    x, _, pairs = _part_pairs(spark, d)
+    q, _, pairs = pairs_of(spark, d)
     names = [f"al_{s}_{n}" for s in "ab" for n in pf.ALIGN]
-    return rounded(pf.align_features(pairs, learn.name_idf(x)).select("q", "t", *names), *names)
+    return rounded(pf.align_features(_spread(spark, pairs), learn.name_idf(q)).select("q", "t", *names), *names)
 
 
 @register("distinct_features")
 def distinct_features(spark, d):
-    x, both, _ = _part_pairs(spark, d)
-    x = pf.distinctive(x, learn.frequent_tokens([x], "name_core", 0.2), "name_core", "nr")
-    x = pf.distinctive(x, learn.frequent_tokens([x], "addr_n", 0.2), "addr_n", "ar")
-    got = pf.distinct_features(pf.with_records(both, x, x, ("nr", "ar")))
+    q, t, pairs = pairs_of(spark, d)
+    for c, out in (("name_core", "nr"), ("addr_n", "ar")):
+        often = learn.frequent_tokens([q, t], c)
+        q, t = pf.distinctive(q, often, c, out), pf.distinctive(t, often, c, out)
+    got = pf.distinct_features(_spread(spark, pf.with_records(pairs.select("q", "t"), q, t, ("nr", "ar"))))
     names = ["nr_ratio", "nr_tset", "ar_ratio", "ar_tset", "ar_b_in_a", "ar_a_in_b"]
     return rounded(got.select("q", "t", *names, "nr_len_a", "ar_len_a"), *names)
 
 
 @register("support_features")
 def support_features(spark, d):
-    x, both, _ = _part_pairs(spark, d)
-    got = pf.support_features(both, x)
+    """Support by candidates whose score is at least half of the most possible."""
+    _, t, pairs = pairs_of(spark, d)
+    got = pf.support_features(pairs.select("q", "t", "src", (F.col("bscore") / 2).alias("p")), t)
     names = [c for c in got.columns if c.startswith("sup_")]
     return rounded(got.select("q", "t", *names), *names)
 
