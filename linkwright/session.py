@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -50,7 +51,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.__dict__["_stored"] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing will read again, and lets the driver collect what finished shuffles they cost.
+
+    Call it only once what was made from them is itself materialised: a lost
+    executor's work is then redone from the successors.
+    """
+    for df in tables:
+        path = df.__dict__.pop("_stored", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -58,8 +78,23 @@ def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "left",
 
     Give a ``small`` that is cheap to count, such as a materialised table.
     """
-    few = small.limit(limit + 1).count() <= limit
-    return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
+    return big.join(F.broadcast(small) if is_small(small, limit) else small.hint("merge"), on, how)
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``limit`` rows; counting stops there."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none of them is among those taken (as Spark compares names, in any case)."""
+    out, seen = [], {t.lower() for t in taken}
+    for name in names:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
