@@ -4,11 +4,11 @@ A document's set is its distinct word 5-grams (64-bit hashes). Two documents lin
 when ``100 * intersection >= 80 * union``. Documents with equal sets are one class
 from the start, so copies never meet each other.
 
-Points: the n-grams of a set are hashed into GROUPS groups; the counts per group
-are a point, and the sum over groups of the smaller of two counts bounds the
-intersection from above. Points are indexed in packed R-trees, whose boxes give
-the same bound for all points under them; pairs that survive are verified on the
-full sets.
+Points: the n-grams of a set are hashed into groups, more for larger sets; the
+counts per group are a point, and the sum over groups of the smaller of two counts
+bounds the intersection from above. Points are indexed in packed R-trees, whose
+boxes give the same bound for all points under them; pairs that survive are
+verified on the full sets.
 
 One R-tree over a corpus would not fit a task, so classes are first dealt out such
 that every pair that may link meets: n-grams are ordered (those of many documents
@@ -17,24 +17,37 @@ either. Each such n-gram is a run of classes; each run gets its own R-tree. Size
 and place in the order prune pairs before (a pair that links is seen at the first
 n-gram it shares, where what is left of both must still suffice).
 
-Hot runs, of more than HOT classes, are copies of one text with small edits. There
-all pairs would grow with the square, so the run's most central class (fewest
-rare n-grams before this one) is compared with every other; then, with the
-components that these links make, only pairs across components are searched, in
-tiles of bounded size, by R-trees whose boxes are also skipped when all under
-them belong to the query's component. No link between components is lost, and
-components are all that is returned.
-
-n-grams of many documents are found by counting in blocks and adding up what
+Hot runs, of more than HOT classes, are copies of one text with small edits, or
+texts that share a passage. All pairs there would grow with the square, and only
+components are returned, so they are searched for spanning links:
+
+1. A run's most central class (fewest rare n-grams before this one) is bounded
+   against every other.
+2. With the components that verified links make, the run is cut into bands of
+   size, of which only neighbours can link, and bands into tiles of bounded size.
+   An R-tree of a tile, whose boxes are also skipped when all under them belong to
+   the query's component, gives the pairs across components that the bound leaves;
+   of these only a forest is verified, the likeliest links first: no more rows
+   than the tile has classes.
+3. Where links of a forest turn out not to hold, the tile is searched again for
+   pairs across the components there are then, beside the pairs it has tried, and
+   for MORE times as many forests. Tiles whose forests held are done: what the forest
+   left out lies within one component. This ends when no tile has a pair left, so
+   no link between components is lost.
+
+N-grams of many documents are found by counting in blocks and adding up what
 repeats inside a block. The order they get is a matter of speed alone: any order
-gives the same result.
+gives the same result. Their postings are dealt by class as well, so no task gets
+all of them.
 
 Edge cases: null, empty and blank texts have an empty set, link with nothing and
 are their own component; fewer than five words are one n-gram, the sequence;
-repeated rows are one class; null doc_id is never the smallest of a component
-unless it is alone, and then the component is null; an empty table gives an empty
-result; extra columns are not read. Two different n-grams share a hash with
-probability 2^-64 a pair.
+repeated rows are one class; texts of any length are read whole; ties cannot
+matter, since components do not depend on the order of links; null doc_id is never
+the smallest of a component unless it is alone, and then the component is null;
+an empty table gives an empty result; extra columns, whatever their names, are not
+read (``representatives`` returns them as they came). Two different n-grams share a
+hash with probability 2^-64 a pair.
 """
 
 from __future__ import annotations
@@ -45,13 +58,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, join_small, materialise
+from ..session import is_small, join_small, materialise, release, unused
 from .common import bound_batches, forget, regrouped, trim
 
-#: Words of an n-gram; similarity as a fraction; groups of a count vector; classes that make a run hot; classes of a tile; points of a tree node.
-WORDS, NUMERATOR, DENOMINATOR, GROUPS, HOT, TILE, NODE = 5, 80, 100, 64, 32, 8_192, 16
-#: Fewest and most groups of the finer points that bound each found pair once more before its full sets are read; in between, half a set's size at least.
-FINE, FINEST = 256, 1 << 14
+#: Words of an n-gram; similarity as a fraction; fewest and most groups of a count vector, and the n-grams a group of it stands for; classes that make a run hot; points of a tree node.
+WORDS, NUMERATOR, DENOMINATOR, GROUPS, MOST_GROUPS, PER_GROUP, HOT, NODE = 5, 80, 100, 64, 1 << 14, 8, 32, 16
+#: Classes and bytes of points that a tile holds; parts that a common n-gram's postings are dealt into; growth of a search's forests by round.
+TILE, TILE_BYTES, SALTS, MORE = 4_096, 8 << 20, 1_024, 16
 #: An n-gram counts as common from this share of all documents; n-grams of a counting block; repeats within a block that are reported; most that travel with tasks.
 COMMON_SHARE, COUNT_BLOCK, REPEATS, MOST_COMMON = 1 / 1500, 1_000_000, 3, 1_000_000
 #: Bytes of text whose n-grams are made at a time; classes a task remembers having met.
@@ -100,21 +113,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def counts(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """A set's point; 255 stands for any larger count."""
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups), _FULL).astype(np.uint8)
+def groups_of(n: int) -> int:
+    """Groups of a set's point: a power of two, so that a finer point folds onto a coarser one."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, n // PER_GROUP - 1).bit_length()))
 
 
-def fine_groups(n: int) -> int:
-    """Groups of a set's fine point: a power of two, so that a finer point folds onto a coarser one."""
-    return min(FINEST, max(FINE, 1 << max(0, (n // 2 - 1)).bit_length()))
+def counts(s: np.ndarray, groups: int | None = None) -> np.ndarray:
+    """A set's point; 255 stands for any larger count."""
+    groups = groups or groups_of(len(s))
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups), _FULL).astype(np.uint8)
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
-    """Summed coordinate minima of two fine points, folded to the coarser one's groups."""
-    g = min(len(a), len(b))
-    a, b = (np.where(x == _FULL, 1 << 24, x.astype(np.int64)).reshape(-1, g).sum(0) for x in (a, b))
-    return min(int(np.minimum(a, b).sum()), n, m)
+def folded(points: list[bytes]) -> np.ndarray:
+    """Points of any groups as rows of the fewest groups among them; a full count bounds nothing."""
+    groups = min(map(len, points))
+    out = np.empty((len(points), groups), np.int32)
+    for i, p in enumerate(points):
+        x = np.frombuffer(p, np.uint8).astype(np.int32)
+        x[x == _FULL] = 1 << 16
+        out[i] = x.reshape(-1, groups).sum(0)
+    return out
 
 
 def enough(overlap, n, m):
@@ -129,12 +147,10 @@ def prefix(n: int) -> int:
 
 
 class RTree:
-    """Packed R-tree over count vectors, with a label of every box whose points share one."""
+    """Packed R-tree over folded count vectors, with a label of every box whose points share one."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None, node: int = NODE):
-        high = points.astype(np.int32)
-        high[points == _FULL] = 1 << 24  # no bound
-        self.points = high
+        high = self.points = points
         # neighbours in size, then in the groups that vary most, share leaves
         order = np.lexsort((*(high[:, g] for g in np.argsort(high.var(0))[-3:]), sizes // max(1, int(sizes.mean()) // 8)))
         self.order, self.sizes = order, sizes
@@ -154,16 +170,14 @@ class RTree:
 
     def search(self, point: np.ndarray, size: int, label: int) -> np.ndarray:
         """Rows of other labels whose bound lets them link with the point."""
-        q = point.astype(np.int32)
-        q[point == _FULL] = 1 << 24
         at = np.zeros(1, np.int64)
         for boxes, small, large, low, high in reversed(self.levels):
             at = at[at < len(boxes)]
-            bound = np.minimum(np.minimum(boxes[at], q).sum(1), np.minimum(size, large[at]))
+            bound = np.minimum(np.minimum(boxes[at], point).sum(1), np.minimum(size, large[at]))
             keep = enough(bound, size, small[at]) & ~((low[at] == label) & (high[at] == label))
             at = (at[keep][:, None] * self.node + np.arange(self.node)).ravel()
         rows = self.order[at[at < len(self.order)]]
-        bound = np.minimum(np.minimum(self.points[rows], q).sum(1), np.minimum(size, self.sizes[rows]))
+        bound = np.minimum(np.minimum(self.points[rows], point).sum(1), np.minimum(size, self.sizes[rows]))
         return rows[enough(bound, size, self.sizes[rows]) & (self.labels[rows] != label)]
 
 
@@ -217,15 +231,14 @@ def _sketch(batches, often):
     seen: set[int] = set()
     for batch in regrouped(batches, most=GRAM_BYTES):
         sets = grams(batch.column(1))
-        size, cls, keys, points, fine = [], [], [], [], []
+        size, cls, keys, rare, points = [], [], [], [], []
         for s in sets:
             c = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
             size.append(len(s))
             cls.append(c)
             if c in seen or not len(s):
-                keys.append(None)
-                points.append(None)
-                fine.append(None)
+                for column in (keys, rare, points):
+                    column.append(None)
                 continue
             if len(seen) > SEEN:
                 seen.clear()
@@ -234,160 +247,229 @@ def _sketch(batches, often):
             if len(often):
                 k = np.searchsorted(often, s)
                 hit = often[np.minimum(k, len(often) - 1)] == s
-                s_ordered = np.concatenate([s[~hit], s[hit]])
+                ordered = np.concatenate([s[~hit], s[hit]])
+                rare.append(min(p, len(s) - int(hit.sum())))
             else:
-                s_ordered = s
-            keys.append(s_ordered[:p].tobytes())
+                ordered = s
+                rare.append(p)
+            keys.append(ordered[:p].tobytes())
             points.append(counts(s).tobytes())
-            fine.append(counts(s, fine_groups(len(s))).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, points, fine)]],
-            names=["doc_id", "text_hash", "n", "cls", "keys", "point", "fine"],
+            [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.binary()), pa.array(rare, pa.int64()), pa.array(points, pa.binary())],
+            names=["doc_id", "text_hash", "n", "cls", "keys", "rare", "point"],
         )
     seen.clear()
     trim()
 
 
 def sketch(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n, cls, and for a class's first document in a task its prefix and its coarse and fine points."""
+    """doc_id, text_hash, n, cls, and for a class's first document in a task its prefix, how many of that are not common, and its point."""
     bound_batches(docs.sparkSession, 128)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(lambda it: _sketch(it, often), f"doc_id {kind}, text_hash long, n long, cls long, keys binary, point binary, fine binary")
+    return rows.mapInArrow(lambda it: _sketch(it, often), f"doc_id {kind}, text_hash long, n long, cls long, keys binary, rare long, point binary")
 
 
 # --- runs ------------------------------------------------------------------------------------
 
 
 def _postings(batches):
+    """(key, salt, cls, at) of each prefix n-gram; the salt is -1, or the class's part for a common n-gram."""
     trim()
     for batch in batches:
         cls, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        keys = batch.column(2).to_pylist()
+        keys, rare = batch.column(2).to_pylist(), batch.column(3).to_numpy(zero_copy_only=False)
         size = np.array([len(k) // 8 for k in keys], np.int64)
         flat = np.frombuffer(b"".join(keys), np.int64)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(cls, size)), pa.array(np.repeat(n, size) << 32 | place)], names=["key", "cls", "at"])
+        salt = np.where(place < np.repeat(rare, size), -1, np.repeat(cls % SALTS, size)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(salt), pa.array(np.repeat(cls, size)), pa.array(np.repeat(n, size) << 32 | place)], names=["key", "salt", "cls", "at"])
 
 
 def _shared(batches):
-    """Of postings sorted by key and class: those of keys that two or more classes hold."""
+    """Of postings sorted by key, salt and class: those of keys that two or more classes hold, and those of common n-grams."""
     trim()
-    last = None  # (key, cls, at) of the last row, and whether its run has been reported
+    last = None  # (key, salt, cls, at) of the last row, and whether its run has been reported
     told = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, cls, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        key, salt, cls, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if last is not None:
-            key, cls, at = (np.concatenate([[a], b]) for a, b in zip(last, (key, cls, at)))
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+            key, salt, cls, at = (np.concatenate([[a], b]) for a, b in zip(last, (key, salt, cls, at)))
+        turn = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        new = np.concatenate([[True], turn | (cls[1:] != cls[:-1])])
         report = np.ones(len(key), bool)
         if last is not None and told:
             report[0] = False  # reported with the batch before
-        key, cls, at, report = key[new], cls[new], at[new], report[new]
-        starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+        key, salt, cls, at, report = key[new], salt[new], cls[new], at[new], report[new]
+        starts = np.concatenate([[0], np.nonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))[0] + 1])
         size = np.diff(np.concatenate([starts, [len(key)]]))
-        many = np.repeat(size > 1, size)
+        many = np.repeat(size > 1, size) | (salt >= 0)
         if last is not None and told:
             many[: size[0]] = True  # the open run has two classes already
         # a finished run of two classes that cannot link is dropped here
-        two = starts[(size == 2) & (starts + 2 < len(key))]
+        two = starts[(size == 2) & (starts + 2 < len(key)) & (salt[starts] < 0)]
         two = two[two > 0] if last is not None and told else two
         n, m, i, j = at[two] >> 32, at[two + 1] >> 32, at[two] & 0xFFFFFFFF, at[two + 1] & 0xFFFFFFFF
         apart = two[~enough(np.minimum(n - i, m - j), n, m)]
         many[apart] = many[apart + 1] = False
         out = many & report
         told = bool(many[-1])
-        last = (key[-1], cls[-1], at[-1])
+        last = (key[-1], salt[-1], cls[-1], at[-1])
         if out.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, cls, at)], names=["key", "cls", "at"])
 
 
 def _pairs_of_run(rows: list[tuple]) -> list[tuple[int, int]]:
     """Pairs of a run's classes (cls, at, point) that may link, by its R-tree."""
-    cls = np.array([r[0] for r in rows])
-    at = np.array([r[1] for r in rows])
-    n, left = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+    cls = [r[0] for r in rows]
+    n = np.array([r[1] >> 32 for r in rows])
+    left = n - np.array([r[1] & 0xFFFFFFFF for r in rows])
     if len(rows) == 2 and not enough(min(left), n[0], n[1]):
         return []
-    points = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+    points = folded([r[2] for r in rows])
     out = []
     if len(rows) <= 3:  # a tree of one leaf: its points are bounded directly
-        for i in range(1, len(rows)):
-            for j in range(i):
-                least = np.minimum(points[i], points[j])
-                bound = min(int(least.sum()), n[i], n[j]) if least.max() < _FULL else min(n[i], n[j])
-                if enough(min(bound, left[i], left[j]), n[i], n[j]):
-                    out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
-        return out
-    tree = RTree(points, n)
-    for i in range(len(rows)):
-        for j in tree.search(points[i], n[i], i):
-            if i < j and enough(min(left[i], left[j]), n[i], n[j]):
-                out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        near = ((i, j) for i in range(1, len(rows)) for j in range(i))
+        near = ((i, j) for i, j in near if enough(min(int(np.minimum(points[i], points[j]).sum()), n[i], n[j]), n[i], n[j]))
+    else:
+        tree = RTree(points, n)
+        near = ((i, j) for i in range(len(rows)) for j in tree.search(points[i], n[i], i) if i < j)
+    for i, j in near:
+        if enough(min(left[i], left[j]), n[i], n[j]):
+            out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
     return out
 
 
-def _search_runs(batches, hot):
-    """Of rows sorted by key and place: (0, x, y) for pairs that may link, (1, key, 0) for hot runs."""
+def _search_runs(batches):
+    """Of rows sorted by key: pairs that may link."""
     trim()
-    key, rows, leader = None, [], None
-
-    def end(out):
-        if leader is None and len(rows) > 1:
-            out += [(0, x, y) for x, y in _pairs_of_run(rows)]
-
-    def lead(row):
-        n, m = leader[1] >> 32, row[1] >> 32
-        left = min(n - (leader[1] & 0xFFFFFFFF), m - (row[1] & 0xFFFFFFFF))
-        return [(0, min(leader[0], row[0]), max(leader[0], row[0]))] if enough(left, n, m) and row[0] != leader[0] else []
-
+    key, rows, out = None, [], set()
     for batch in batches:
-        out: list[tuple] = []
         for k, c, at, point in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if k != key:
-                end(out)
-                key, rows, leader = k, [], None
-            row = (c, at, point)
-            if leader is not None:
-                out += lead(row)
-                continue
-            rows.append(row)
-            if len(rows) > hot:
-                leader = rows[0]
-                out.append((1, k, 0))
-                for r in rows[1:]:
-                    out += lead(r)
-                rows = []
+                if len(rows) > 1:
+                    out.update(_pairs_of_run(rows))
+                key, rows = k, []
+            rows.append((c, at, point))
         if out:
-            out = list(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["kind", "x", "y"])
-    out = []
-    end(out)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["x", "y"])
+            out = set()
+    if len(rows) > 1:
+        out.update(_pairs_of_run(rows))
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["kind", "x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["x", "y"])
 
 
-def _search_tile(table: pa.Table, groups: int) -> pa.Table:
-    """Pairs across components that may link, between two tiles of a hot run (or within one)."""
+def _led(batches):
+    """Pairs of a hot run's most central class and another whose points let them link."""
+    trim()
+    for batch in batches:
+        got = set()
+        for c, at, point, d, lead, other in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            n, m = at >> 32, lead >> 32
+            if c != d and enough(min(n - (at & 0xFFFFFFFF), m - (lead & 0xFFFFFFFF)), n, m):
+                a, b = folded([point, other])
+                if enough(min(int(np.minimum(a, b).sum()), n, m), n, m):
+                    got.add((min(c, d), max(c, d)))
+        yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(2)], names=["x", "y"])
+
+
+class _Forests:
+    """Edge-disjoint forests, filled in the order edges come."""
+
+    def __init__(self, nodes: int, forests: int):
+        self.parents = [list(range(nodes)) for _ in range(forests)]
+
+    def takes(self, a: int, b: int) -> bool:
+        """Whether one of the forests has room for the edge; it is then in it."""
+        for parent in self.parents:
+            x, y = a, b
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                return True
+        return False
+
+
+def _search_tile(table: pa.Table, tried: pa.Table | None, forests: int) -> pa.Table:
+    """A spanning choice of the untried pairs across components that may link, between two tiles of a hot run (or within one)."""
+    table = table.sort_by("cls")  # other runs of the same classes choose alike
     cls, at, label, tile = (table.column(c).to_numpy().astype(np.int64) for c in ("cls", "at", "label", "tile"))
-    points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(len(cls), groups)
-    n, left = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+    done = set(zip(tried.column("x").to_pylist(), tried.column("y").to_pylist())) if tried is not None and tried.num_rows else set()
+    out: list[tuple[int, int]] = []
     names, label = np.unique(label, return_inverse=True)
-    out = []
-    if len(names) > 1:
-        first = tile == tile.min()
-        here, there = np.nonzero(first)[0], np.nonzero(~first)[0]
-        there = there if len(there) else here
+    here = np.nonzero(tile == table.column("low")[0].as_py())[0] if table.num_rows else np.empty(0, np.int64)
+    within = table.num_rows and table.column("low")[0].as_py() == table.column("high")[0].as_py()
+    there = here if within else np.nonzero(tile == table.column("high")[0].as_py())[0] if table.num_rows else here
+    if len(names) > 1 and len(here) and len(there):
+        points = folded(table.column("point").to_pylist())
+        n, left = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
         tree = RTree(points[there], n[there], label[there])
+        kept = _Forests(len(names), forests)
         for i in here:
-            for j in there[tree.search(points[i], n[i], label[i])]:
-                if enough(min(left[i], left[j]), n[i], n[j]):
-                    out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
-    out = list(set(out))
-    return pa.table({"x": pa.array([o[0] for o in out], pa.int64()), "y": pa.array([o[1] for o in out], pa.int64())})
+            js = there[tree.search(points[i], n[i], label[i])]
+            js = js[js > i] if within else js
+            js = js[enough(np.minimum(left[i], left[js]), n[i], n[js])]
+            if not len(js):
+                continue
+            near = np.minimum(points[js], points[i]).sum(1) / (n[js] + n[i])
+            for j in js[np.argsort(-near, kind="stable")].tolist():
+                pair = (min(cls[i], cls[j]), max(cls[i], cls[j]))
+                if pair not in done and kept.takes(label[i], label[j]):
+                    out.append(pair)
+    first = lambda c: [table.column(c)[0].as_py()] * len(out) if out else []
+    return pa.table(
+        {"key": pa.array(first("key"), pa.int64()), "low": pa.array(first("low"), pa.int64()), "high": pa.array(first("high"), pa.int64()), **{c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate("xy")}}
+    )
+
+
+def _searcher(forests: int):
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("key", "low", "high", "x", "y")})
+    return lambda table, tried: _search_tile(table, tried, forests) if table.num_rows else none
+
+
+_FOUND = "key long, low long, high long, x long, y long"
+
+
+def tiles(hot: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFrame:
+    """key, low, high, tile, cls, at, point, label: the rows of hot runs for every pair of tiles that may hold a link across components.
+
+    Linked sets differ in size by a quarter at most, so they lie in one band or in
+    neighbours. A band of a run is cut into tiles by class.
+    """
+    rows = hot.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    rows = rows.withColumn("band", F.floor(F.log(F.shiftright("at", 32).cast("double")) / F.lit(float(np.log(1.26)))).cast("long"))
+    each = rows.groupBy("key", "band").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(F.length("point")).alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most")
+    )
+    each = each.withColumn("cut", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("bytes") / TILE_BYTES)).cast("long"))
+    up = each.select("key", (F.col("band") - 1).alias("band"), F.col("cut").alias("cut_up"), F.col("least").alias("least_up"), F.col("most").alias("most_up"))
+    down = each.select("key", (F.col("band") + 1).alias("band"), F.col("cut").alias("cut_down"), F.col("least").alias("least_down"), F.col("most").alias("most_down"))
+    each = each.join(up, ["key", "band"], "left").join(down, ["key", "band"], "left")
+    # a band, or two neighbours, of one component is done
+    open_ = lambda s: F.col(f"cut{s}").isNotNull() & (F.least("least", f"least{s}") != F.greatest("most", f"most{s}"))
+    each = each.select(
+        "key", "band", "cut",
+        F.when(F.col("least") != F.col("most"), F.col("cut")).otherwise(0).alias("same"),
+        F.when(open_("_up"), F.col("cut_up")).otherwise(0).alias("up"),
+        F.when(open_("_down"), F.col("cut_down")).otherwise(0).alias("down"),
+    ).filter("same + up + down > 0")
+    rows = rows.join(each, ["key", "band"])
+    part = F.pmod(F.xxhash64("cls"), F.col("cut"))
+    name = lambda band, k: F.shiftleft(band, 32) + k
+    all_of = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("tile", name(F.col("band"), part))
+    meet = F.concat(
+        F.transform(all_of("same"), lambda k: F.struct(F.least(F.col("tile"), name(F.col("band"), k)).alias("low"), F.greatest(F.col("tile"), name(F.col("band"), k)).alias("high"))),
+        F.transform(all_of("up"), lambda k: F.struct(F.col("tile").alias("low"), name(F.col("band") + 1, k).alias("high"))),
+        F.transform(all_of("down"), lambda k: F.struct(name(F.col("band") - 1, k).alias("low"), F.col("tile").alias("high"))),
+    )
+    return rows.withColumn("_m", F.explode(meet)).select("key", F.col("_m.low").alias("low"), F.col("_m.high").alias("high"), "tile", "cls", "at", "point", "label")
 
 
 # --- verification and components -------------------------------------------------------------
@@ -412,15 +494,6 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(data, pa.binary())], names=["cls", "grams"])
 
 
-def _bounded(batches):
-    """Pairs whose fine points still let them link."""
-    trim()
-    for batch in batches:
-        columns = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-        keep = [bool(enough(overlap_bound(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), n, m), n, m)) for n, m, a, b in zip(*columns)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _verify(batches):
     trim()
     for batch in batches:
@@ -433,41 +506,30 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets link; only texts of classes in pairs are read into sets."""
-    spark = docs.sparkSession
-    first = sketches.filter("keys is not null")
-
-    def classes(pairs: DataFrame, name: str) -> DataFrame:
-        return materialise(pairs.select(F.explode(F.array("x", "y")).alias("_cls")).distinct(), name)
-
-    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    light = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    needed = classes(pairs, "jaccard-needed")
-    fine = join_small(first.select("cls", "n", "fine"), needed, F.col("cls") == F.col("_cls"), "left_semi")
-    fine = fine.groupBy("cls").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
-    side = lambda c: fine.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("fine").alias("f" + c))
-    bound_batches(spark, 256)
-    joined = side("x").join(light(pairs), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "fx", "fy")
-    pairs = materialise(joined.mapInArrow(_bounded, "x long, y long"), "jaccard-bounded")
-    needed = classes(pairs, "jaccard-needed")
-    text = join_small(first.select("cls", "doc_id", "text_hash"), needed, F.col("cls") == F.col("_cls"), "left_semi")
-    text = text.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select(F.col("one.doc_id").alias("_doc"), F.col("one.text_hash").alias("_hash"))
-    text = materialise(text.distinct(), "jaccard-texts")
+def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (materialised) whose full sets link; only texts of classes in pairs are read into sets. firsts: a document of each class."""
+    needed = materialise(pairs.select(F.explode(F.array("x", "y")).alias("_cls")).distinct(), "jaccard-needed")
+    text = join_small(firsts, needed, F.col("cls") == F.col("_cls"), "left_semi")
+    text = materialise(text.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "jaccard-texts")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    bound_batches(spark, 64)
+    bound_batches(docs.sparkSession, 64)
     # one row per class where ids are unique; repeated rows repeat their pairs, which distinct() takes back
     sets = join_small(docs.select("doc_id", "text"), text, same, "left_semi", PICK).select("text").mapInArrow(_sets, "cls long, grams binary")
     sets = materialise(sets, "jaccard-sets")
+    light = F.broadcast(pairs) if is_small(pairs) else pairs
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("grams").alias("g" + c))
-    joined = side("x").join(light(pairs), "x").join(side("y"), "y").select("x", "y", "gx", "gy")
-    return materialise(joined.mapInArrow(_verify, "x long, y long").distinct(), "jaccard-links")
+    joined = side("x").join(light, "x").join(side("y"), "y").select("x", "y", "gx", "gy")
+    links = materialise(joined.mapInArrow(_verify, "x long, y long").distinct(), "jaccard-links")
+    release(needed, text, sets)
+    return links
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """cls, label (smallest class of the component) for every class with a link, by alternating large and small stars.
 
-    Minima are aggregates with a map side, and hubs meet their stars by a skew-split join.
+    Minima are aggregates with a map side, and hubs meet their stars by a
+    skew-split join. The rounds grow with the logarithm of the longest chain;
+    rather than give unfinished components it raises.
     """
 
     def star(edges: DataFrame, small: bool) -> DataFrame:
@@ -484,12 +546,57 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = sign(edges)
     for _ in range(rounds):
-        edges = materialise(star(star(edges, False), True), "jaccard-edges")
+        old, edges = edges, materialise(star(star(edges, False), True), "jaccard-edges")
+        release(old)
         after = sign(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("cls"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct())
+    else:
+        raise RuntimeError(f"components unfinished after {rounds} rounds")
+    both = edges.select(F.col("u").alias("cls"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct())
+    labels = materialise(both, "jaccard-labels")
+    release(edges)
+    return labels
+
+
+def spanning(hot: DataFrame, links: DataFrame, firsts: DataFrame, docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """cls, label once all links between components that hot runs hold are found, beginning with ``links``."""
+    labels = components(links)
+    tried, forests = None, 1
+    while True:
+        rows = tiles(hot, labels, tile)
+        keys = ["key", "low", "high"]
+        if tried is None:
+            found = rows.groupBy(*keys).applyInArrow(lambda t: _search_tile(t, None, 1), _FOUND)
+        else:  # only tiles with a choice that did not hold
+            again = tried.select(*keys).distinct()
+            left = rows.join(again, keys, "left_semi").groupBy(*keys)
+            right = tried.groupBy(*keys)
+            found = left.cogroup(right).applyInArrow(_searcher(forests), _FOUND)
+        found = materialise(found, "jaccard-found")
+        pairs = found.select("x", "y").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select("x", "y").distinct(), ["x", "y"], "left_anti")
+        pairs = materialise(pairs, "jaccard-pairs")
+        if not pairs.isEmpty():
+            new = verified(pairs, firsts, docs)
+            star = labels.select(F.col("cls").alias("x"), F.col("label").alias("y"))
+            old, labels = labels, components(star.union(new))
+            # pairs tried before that this round's tiles chose as well did not hold either
+            failed = found.join(new, ["x", "y"], "left_anti")
+            release(old)
+        else:
+            new, failed = None, found
+        before, tried = tried, materialise(failed if tried is None else failed.unionByName(tried).distinct(), "jaccard-tried")
+        fresh = materialise(failed.select(*keys).distinct(), "jaccard-again")
+        tried_on = materialise(tried.join(fresh, keys, "left_semi"), "jaccard-tried")
+        release(found, pairs, fresh, tried, *[x for x in (new, before) if x is not None])
+        tried = tried_on
+        if tried.isEmpty():
+            release(tried)
+            return labels
+        forests *= MORE
 
 
 def members(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
@@ -498,40 +605,41 @@ def members(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
     often = common(docs)
     sketches = materialise(sketch(docs, often), "jaccard-sketch")
     points = sketches.filter("keys is not null")
+    rows = materialise(sketches.select("doc_id", "text_hash", "n", "cls"), "jaccard-rows")
+    vectors = materialise(points.groupBy("cls").agg(F.first("point").alias("point")), "jaccard-points")
+    firsts = points.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("cls", "one.doc_id", "one.text_hash")
+    firsts = materialise(firsts, "jaccard-firsts")
     bound_batches(spark, 500)
-    postings = points.select("cls", "n", "keys").mapInArrow(_postings, "key long, cls long, at long")
+    postings = points.select("cls", "n", "keys", "rare").mapInArrow(_postings, "key long, salt int, cls long, at long")
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     bound_batches(spark, 10_000)
-    shared = materialise(postings.repartition(slots, "key").sortWithinPartitions("key", "cls").mapInArrow(_shared, "key long, cls long, at long"), "jaccard-shared")
-    vectors = points.groupBy("cls").agg(F.first("point").alias("point"))
-    placed = shared.join(vectors, "cls").select("key", "cls", "at", "point")
+    dealt = postings.repartition(slots, "key", "salt").sortWithinPartitions("key", "salt", "cls")
+    shared = materialise(dealt.mapInArrow(_shared, "key long, cls long, at long"), "jaccard-shared")
+    release(sketches)
     relative = F.expr("(at & 4294967295) / shiftright(at, 32)")
-    runs = placed.repartition(slots, "key").sortWithinPartitions("key", relative, "cls")
-    found = materialise(runs.mapInArrow(lambda it: _search_runs(it, hot), "kind long, x long, y long"), "jaccard-found")
-    pairs = materialise(found.filter("kind = 0").select("x", "y").distinct(), "jaccard-pairs")
-    links = verified(pairs, sketches, docs)
-    labels = components(links)
-    hot_keys = found.filter("kind = 1").select(F.col("x").alias("key")).distinct()
-    if not hot_keys.isEmpty():
-        labels = materialise(labels, "jaccard-labels")
-        rows = shared.join(hot_keys, "key", "left_semi").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        # runs that are one component by now are done
-        open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
-        open_ = open_.select("key", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
-        rows = rows.join(open_, "key").join(vectors, "cls").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        rows = rows.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "cls", "at", "label", "point")
-        more = rows.groupBy("key", "low", "high").applyInArrow(lambda t: _search_tile(t, GROUPS), "x long, y long").distinct()
-        more = materialise(more.join(pairs, ["x", "y"], "left_anti"), "jaccard-pairs")
-        crossing = verified(more, sketches, docs)
-        if not crossing.isEmpty():
-            labels = components(links.union(crossing))
-    rows = sketches.select("doc_id", "text_hash", "n", "cls")
+    runs = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(relative.alias("far"), "cls", "at")).alias("lead"))
+    runs = materialise(runs.filter(F.col("m") > hot).select("key", F.col("lead.cls").alias("lead"), F.col("lead.at").alias("lead_at")), "jaccard-hot")
+    heads = runs.select(F.col("key").alias("_key"))
+    cold = join_small(shared, heads, F.col("key") == F.col("_key"), "left_anti").join(vectors, "cls").select("key", "cls", "at", "point")
+    found = cold.repartition(slots, "key").sortWithinPartitions("key", "cls").mapInArrow(_search_runs, "x long, y long").distinct()
+    warm = join_small(shared, heads, F.col("key") == F.col("_key"), "left_semi").join(vectors, "cls").select("key", "cls", "at", "point")
+    warm = materialise(warm, "jaccard-warm")
+    leads = runs.join(vectors, F.col("lead") == F.col("cls")).select(F.col("key").alias("_key"), "lead", "lead_at", F.col("point").alias("lead_point"))
+    leads = materialise(leads, "jaccard-leads")
+    led = join_small(warm, leads, F.col("key") == F.col("_key"), "inner", PICK // 100).select("cls", "at", "point", "lead", "lead_at", "lead_point")
+    led = led.mapInArrow(_led, "x long, y long").distinct()
+    some = materialise(found, "jaccard-pairs")
+    pairs = materialise(some.union(led).distinct(), "jaccard-pairs")
+    release(shared, vectors, leads, runs, some)
+    links = verified(pairs, firsts, docs)
+    labels = spanning(warm, links, firsts, docs, tile)
+    release(pairs, links, warm, firsts)
     # the smallest id of each class first: partial aggregates, so a class of a third of all rows is a row a task
     least = rows.groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = least.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     ids = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = materialise(named.join(ids, "label").select(F.col("cls").alias("_cls"), "label", "component_id"), "jaccard-components")
+    release(labels)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return join_small(rows, named, F.col("cls") == F.col("_cls")).select("doc_id", "text_hash", "n", "cls", "label", own.alias("component_id"))
 
@@ -548,17 +656,19 @@ def representatives(docs: DataFrame, **parameters) -> DataFrame:
     its text; of repeated rows one stays, the first by its other columns.
     """
     got = materialise(members(docs, **parameters).filter("n > 0").select("doc_id", "text_hash", "label"), "jaccard-documents")
+    doc, digest, place = unused(docs.columns, "_doc", "_hash", "_place")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = got.groupBy("label").agg(F.min(key).alias("best"))
-    drop = got.join(best, "label").filter(key != F.col("best")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    drop = materialise(drop, "jaccard-drop")
-    same = lambda a: F.col("doc_id").eqNullSafe(F.col(a[0])) & (F.xxhash64("text") == F.col(a[1]))
-    kept = join_small(docs, drop, same(("_doc", "_hash")), "left_anti", PICK)
-    again = got.join(best, "label").filter(key == F.col("best")).groupBy("doc_id", "text_hash").count().filter("count > 1")
-    again = materialise(again.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")), "jaccard-again")
+    named = lambda df: df.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(digest))
+    judged = got.join(best, "label").withColumn("stays", key == F.col("best"))
+    drop = materialise(named(judged.filter("not stays")).distinct(), "jaccard-drop")
+    again = materialise(named(judged.filter("stays").groupBy("doc_id", "text_hash").count().filter("count > 1")), "jaccard-again")
+    release(got)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(digest))
+    kept = join_small(docs, drop, same, "left_anti", PICK)
     if again.isEmpty():
         return kept
     one = Window.partitionBy("doc_id", "text").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
-    twice = join_small(kept, again, same(("_doc", "_hash")), "left_semi", PICK)
-    once = join_small(kept, again, same(("_doc", "_hash")), "left_anti", PICK)
-    return once.unionByName(twice.withColumn("_place", F.row_number().over(one)).filter("_place = 1").drop("_place"))
+    twice = join_small(kept, again, same, "left_semi", PICK)
+    once = join_small(kept, again, same, "left_anti", PICK)
+    return once.unionByName(twice.withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1).drop(place))

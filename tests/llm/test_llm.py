@@ -217,7 +217,7 @@ def test_jaccard_brute(spark):
     rows = [*enumerate(rows), (900, ""), (901, None), (902, "A b c"), (903, "a B c"), (904, "a b"), (None, "a b"), (None, "q r s t u v w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
     want = brute_components(rows)
-    for hot, tile in ((jaccard.HOT, jaccard.TILE), (4, 7)):
+    for hot, tile in ((4, 7),):
         got = sorted(map(tuple, jaccard.join(docs, hot=hot, tile=tile).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
         assert got == want
     kept = jaccard.representatives(docs).collect()
@@ -230,14 +230,50 @@ def test_rtree_finds_all():
     points = rng.poisson(2, (300, 64)).astype(np.uint8)
     points[150:] = np.clip(points[:150].astype(int) + rng.integers(-1, 2, (150, 64)) * (rng.random((150, 64)) < 0.1), 0, 254)
     points[0, 0] = 255
+    raw = points
     sizes = points.sum(1).astype(np.int64)
+    points = np.concatenate([jaccard.folded([p.tobytes()]) for p in points])
     tree = jaccard.RTree(points, sizes)
     for i in range(len(points)):
-        q = np.where(points[i] == 255, 1 << 24, points[i].astype(np.int64))
-        p = np.where(points == 255, 1 << 24, points.astype(np.int64))
-        bound = np.minimum(np.minimum(p, q).sum(1), np.minimum(sizes, sizes[i]))
+        bound = np.minimum(np.minimum(points, points[i]).sum(1), np.minimum(sizes, sizes[i]))
         want = {j for j in range(len(points)) if j != i and jaccard.enough(bound[j], sizes[i], sizes[j])}
         assert set(tree.search(points[i], sizes[i], i).tolist()) == want
+    coarse = jaccard.folded([raw[0].tobytes(), np.zeros(32, np.uint8).tobytes()])  # a full count bounds nothing
+    assert coarse.shape == (2, 32) and coarse[0, 0] >= 1 << 16
+
+
+def test_jaccard_many_components(spark):
+    """A group of near copies that stays in many components, chains of links, and a passage that unrelated texts share."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    base = list(rng.choice(vocabulary, 120))
+    rows = []
+    for _ in range(700):  # from under to over the threshold of each other
+        copy = list(base)
+        for at in rng.choice(len(base), rng.integers(0, 9), replace=False):
+            copy[at] = str(rng.choice(vocabulary))
+        rows.append(" ".join(copy))
+    chain = list(rng.choice(vocabulary, 90))
+    for k in range(150):  # each links with the next
+        chain[(k * 7) % 90] = f"c{k}"
+        rows.append(" ".join(chain))
+    passage = list(rng.choice(vocabulary, 60))
+    rows += [" ".join([*rng.choice(vocabulary, rng.integers(5, 60)), *passage, *rng.choice(vocabulary, rng.integers(5, 60))]) for _ in range(300)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) > 50
+    assert sorted(map(tuple, jaccard.join(docs, tile=50).collect()), key=repr) == want
+
+
+def test_jaccard_clashing_columns(spark):
+    docs = odd(spark).selectExpr("*", "1 as _doc", "'x' as _hash", "2 as _place", "3 as cls", "4 as label", "5 as `component_id`")
+    kept = jaccard.representatives(docs)
+    assert kept.columns == docs.columns
+    texts = [r.text for r in kept.collect()]
+    assert sorted(t for t in texts if t and t.split()) == sorted({r.text for r in docs.collect() if r.text and r.text.split()})
+    assert len([t for t in texts if not (t and t.split())]) == len([r for r in docs.collect() if not (r.text and r.text.split())])
+    assert jaccard.representatives(docs.limit(0)).count() == 0
 
 
 # 7, 8
