@@ -57,7 +57,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes materialised tables that nothing will read again, and lets the driver collect what finished shuffles they cost.
+    """Deletes materialised tables that nothing will read again, and lets the driver collect what finished shuffles it holds.
 
     Call it only once what was made from them is itself materialised: a lost
     executor's work is then redone from the successors.
@@ -68,9 +68,10 @@ def release(*tables: DataFrame) -> None:
             spark = df.sparkSession
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-    if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+    gc.collect()
+    spark = SparkSession.getActiveSession()
+    if spark:
+        spark._jvm.System.gc()
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
