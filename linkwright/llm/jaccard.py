@@ -4,11 +4,13 @@ A document's set is its distinct word 5-grams (64-bit hashes). Two documents lin
 when ``100 * intersection >= 80 * union``. Documents with equal sets are one class
 from the start, so copies never meet each other.
 
-Points: the n-grams of a set are hashed into groups, more for larger sets; the
-counts per group are a point, and the sum over groups of the smaller of two counts
-bounds the intersection from above. Points are indexed in packed R-trees, whose
-boxes give the same bound for all points under them; pairs that survive are
-verified on the full sets.
+Points: the n-grams of a set are hashed into groups; the counts per group are a
+point, and the sum over groups of the smaller of two counts bounds the
+intersection from above. Points are indexed in packed R-trees, whose boxes give the
+same bound for all points under them; pairs that survive are verified on the full
+sets. In hot runs (below) the counts of many more groups, of which only the parity
+is kept, bound the pairs that the R-tree leaves once more: the sets differ in at
+least as many n-grams as parities differ.
 
 One R-tree over a corpus would not fit a task, so classes are first dealt out such
 that every pair that may link meets: n-grams are ordered (those of many documents
@@ -61,8 +63,8 @@ from pyspark.sql import functions as F
 from ..session import is_small, join_small, materialise, release, unused
 from .common import bound_batches, forget, regrouped, trim
 
-#: Words of an n-gram; similarity as a fraction; fewest and most groups of a count vector, and the n-grams a group of it stands for; classes that make a run hot; points of a tree node.
-WORDS, NUMERATOR, DENOMINATOR, GROUPS, MOST_GROUPS, PER_GROUP, HOT, NODE = 5, 80, 100, 64, 1 << 14, 8, 32, 16
+#: Words of an n-gram; similarity as a fraction; groups of a count vector; fewest groups of a parity vector; classes that make a run hot; points of a tree node.
+WORDS, NUMERATOR, DENOMINATOR, GROUPS, PARITIES, HOT, NODE = 5, 80, 100, 64, 256, 32, 16
 #: Classes and bytes of points that a tile holds; parts that a common n-gram's postings are dealt into; growth of a search's forests by round.
 TILE, TILE_BYTES, SALTS, MORE = 4_096, 8 << 20, 1_024, 16
 #: An n-gram counts as common from this share of all documents; n-grams of a counting block; repeats within a block that are reported; most that travel with tasks.
@@ -113,26 +115,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def groups_of(n: int) -> int:
-    """Groups of a set's point: a power of two, so that a finer point folds onto a coarser one."""
-    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, n // PER_GROUP - 1).bit_length()))
-
-
-def counts(s: np.ndarray, groups: int | None = None) -> np.ndarray:
+def counts(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """A set's point; 255 stands for any larger count."""
-    groups = groups or groups_of(len(s))
     return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups), _FULL).astype(np.uint8)
 
 
-def folded(points: list[bytes]) -> np.ndarray:
-    """Points of any groups as rows of the fewest groups among them; a full count bounds nothing."""
-    groups = min(map(len, points))
-    out = np.empty((len(points), groups), np.int32)
-    for i, p in enumerate(points):
-        x = np.frombuffer(p, np.uint8).astype(np.int32)
-        x[x == _FULL] = 1 << 16
-        out[i] = x.reshape(-1, groups).sum(0)
-    return out
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parities of the counts of two to four groups an n-gram, packed: a power of two, so that a finer vector folds onto a coarser one."""
+    groups = max(PARITIES, 1 << max(0, 2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(8)).astype(np.int64) % groups, minlength=groups).astype(np.uint8) & 1, bitorder="little")
+
+
+def vectors_of(points: list[bytes]) -> np.ndarray:
+    """Points as rows; a full count bounds nothing."""
+    x = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1).astype(np.int32)
+    x[x == _FULL] = 1 << 16
+    return x
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many groups two parity vectors differ, the finer one folded: at least so many n-grams are in one set alone."""
+    n = min(len(a), len(b))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, n // 8), 0) for v in (a, b))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+class Parities:
+    """Parity vectors of several lengths: at each length those of that many groups or more, folded."""
+
+    def __init__(self, packed: list[bytes]):
+        self.size = np.array([len(p) for p in packed])
+        self.at = {}
+        for n in np.unique(self.size):
+            rows = np.zeros((len(packed), n), np.uint8)
+            for i in np.nonzero(self.size >= n)[0]:
+                rows[i] = np.bitwise_xor.reduce(np.frombuffer(packed[i], np.uint8).reshape(-1, n), 0)
+            self.at[int(n)] = rows.view(np.uint64)
+
+    def apart(self, i: int, js: np.ndarray) -> np.ndarray:
+        """``apart`` of a row and others."""
+        out = np.empty(len(js), np.int64)
+        common = np.minimum(self.size[js], self.size[i])
+        for n in np.unique(common):
+            here, rows = common == n, self.at[int(n)]
+            out[here] = np.bitwise_count(rows[js[here]] ^ rows[i]).sum(1, dtype=np.int64)
+        return out
 
 
 def enough(overlap, n, m):
@@ -147,7 +174,7 @@ def prefix(n: int) -> int:
 
 
 class RTree:
-    """Packed R-tree over folded count vectors, with a label of every box whose points share one."""
+    """Packed R-tree over count vectors, with a label of every box whose points share one."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None, node: int = NODE):
         high = self.points = points
@@ -231,13 +258,13 @@ def _sketch(batches, often):
     seen: set[int] = set()
     for batch in regrouped(batches, most=GRAM_BYTES):
         sets = grams(batch.column(1))
-        size, cls, keys, rare, points = [], [], [], [], []
+        size, cls, keys, rare, points, odd = [], [], [], [], [], []
         for s in sets:
             c = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
             size.append(len(s))
             cls.append(c)
             if c in seen or not len(s):
-                for column in (keys, rare, points):
+                for column in (keys, rare, points, odd):
                     column.append(None)
                 continue
             if len(seen) > SEEN:
@@ -254,27 +281,28 @@ def _sketch(batches, often):
                 rare.append(p)
             keys.append(ordered[:p].tobytes())
             points.append(counts(s).tobytes())
+            odd.append(parities(s).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.binary()), pa.array(rare, pa.int64()), pa.array(points, pa.binary())],
-            names=["doc_id", "text_hash", "n", "cls", "keys", "rare", "point"],
+            [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.binary()), pa.array(rare, pa.int64()), pa.array(points, pa.binary()), pa.array(odd, pa.binary())],
+            names=["doc_id", "text_hash", "n", "cls", "keys", "rare", "point", "odd"],
         )
     seen.clear()
     trim()
 
 
 def sketch(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n, cls, and for a class's first document in a task its prefix, how many of that are not common, and its point."""
+    """doc_id, text_hash, n, cls, and for a class's first document in a task its prefix, how many of that are not common, its point and parities."""
     bound_batches(docs.sparkSession, 128)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(lambda it: _sketch(it, often), f"doc_id {kind}, text_hash long, n long, cls long, keys binary, rare long, point binary")
+    return rows.mapInArrow(lambda it: _sketch(it, often), f"doc_id {kind}, text_hash long, n long, cls long, keys binary, rare long, point binary, odd binary")
 
 
 # --- runs ------------------------------------------------------------------------------------
 
 
 def _postings(batches):
-    """(key, salt, cls, at) of each prefix n-gram; the salt is -1, or the class's part for a common n-gram."""
+    """(key, cls, at) of each prefix n-gram; at: the set's size, whether the n-gram is common (COMMON), its place."""
     trim()
     for batch in batches:
         cls, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -282,21 +310,31 @@ def _postings(batches):
         size = np.array([len(k) // 8 for k in keys], np.int64)
         flat = np.frombuffer(b"".join(keys), np.int64)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        salt = np.where(place < np.repeat(rare, size), -1, np.repeat(cls % SALTS, size)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(salt), pa.array(np.repeat(cls, size)), pa.array(np.repeat(n, size) << 32 | place)], names=["key", "salt", "cls", "at"])
+        place += np.where(place < np.repeat(rare, size), 0, COMMON)
+        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(cls, size)), pa.array(np.repeat(n, size) << 32 | place)], names=["key", "cls", "at"])
+
+
+#: Marks a common n-gram in ``at``; its postings are dealt by class as well.
+COMMON, PLACE = 1 << 31, (1 << 31) - 1
+SALT = f"case when at & {COMMON} = 0 then -1 else pmod(cls, {SALTS}) end"
+
+
+def _salt(cls: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.where(at & COMMON, cls % SALTS, -1)
 
 
 def _shared(batches):
-    """Of postings sorted by key, salt and class: those of keys that two or more classes hold, and those of common n-grams."""
+    """Of postings sorted by key, salt and class: those of keys that two or more classes hold, and those of common n-grams, unmarked."""
     trim()
-    last = None  # (key, salt, cls, at) of the last row, and whether its run has been reported
+    last = None  # (key, cls, at) of the last row, and whether its run has been reported
     told = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, salt, cls, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        key, cls, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if last is not None:
-            key, salt, cls, at = (np.concatenate([[a], b]) for a, b in zip(last, (key, salt, cls, at)))
+            key, cls, at = (np.concatenate([[a], b]) for a, b in zip(last, (key, cls, at)))
+        salt = _salt(cls, at)
         turn = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
         new = np.concatenate([[True], turn | (cls[1:] != cls[:-1])])
         report = np.ones(len(key), bool)
@@ -311,14 +349,14 @@ def _shared(batches):
         # a finished run of two classes that cannot link is dropped here
         two = starts[(size == 2) & (starts + 2 < len(key)) & (salt[starts] < 0)]
         two = two[two > 0] if last is not None and told else two
-        n, m, i, j = at[two] >> 32, at[two + 1] >> 32, at[two] & 0xFFFFFFFF, at[two + 1] & 0xFFFFFFFF
+        n, m, i, j = at[two] >> 32, at[two + 1] >> 32, at[two] & PLACE, at[two + 1] & PLACE
         apart = two[~enough(np.minimum(n - i, m - j), n, m)]
         many[apart] = many[apart + 1] = False
         out = many & report
         told = bool(many[-1])
-        last = (key[-1], salt[-1], cls[-1], at[-1])
+        last = (key[-1], cls[-1], at[-1])
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, cls, at)], names=["key", "cls", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, cls, at & ~COMMON)], names=["key", "cls", "at"])
 
 
 def _pairs_of_run(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -328,20 +366,41 @@ def _pairs_of_run(rows: list[tuple]) -> list[tuple[int, int]]:
     left = n - np.array([r[1] & 0xFFFFFFFF for r in rows])
     if len(rows) == 2 and not enough(min(left), n[0], n[1]):
         return []
-    points = folded([r[2] for r in rows])
     out = []
     if len(rows) <= 3:  # a tree of one leaf: its points are bounded directly
-        near = ((i, j) for i in range(1, len(rows)) for j in range(i))
-        near = ((i, j) for i, j in near if enough(min(int(np.minimum(points[i], points[j]).sum()), n[i], n[j]), n[i], n[j]))
-    else:
-        tree = RTree(points, n)
-        near = ((i, j) for i in range(len(rows)) for j in tree.search(points[i], n[i], i) if i < j)
-    for i, j in near:
-        if enough(min(left[i], left[j]), n[i], n[j]):
-            out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        points = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        for i in range(1, len(rows)):
+            for j in range(i):
+                least = np.minimum(points[i], points[j])
+                bound = int(least.sum(dtype=np.int64)) if least.max() < _FULL else 1 << 30
+                if enough(min(bound, left[i], left[j]), n[i], n[j]):
+                    out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        return out
+    points = vectors_of([r[2] for r in rows])
+    tree = RTree(points, n)
+    for i in range(len(rows)):
+        for j in tree.search(points[i], n[i], i):
+            if i < j and enough(min(left[i], left[j]), n[i], n[j]):
+                out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
     return out
 
 
+def _bounded(batches):
+    """Pairs whose parities still let them link."""
+    trim()
+    for batch in batches:
+        keep = [bool(enough((n + m - apart(a, b)) // 2, n, m)) for n, m, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+
+def bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs (materialised) whose parities still let them link."""
+    light = F.broadcast(pairs) if is_small(pairs) else pairs
+    side = lambda c: vectors.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("odd").alias("o" + c))
+    joined = side("x").join(light, "x").join(side("y"), "y").select("x", "y", "nx", "ny", "ox", "oy")
+    return joined.mapInArrow(_bounded, "x long, y long")
+
+
 def _search_runs(batches):
     """Of rows sorted by key: pairs that may link."""
     trim()
@@ -363,16 +422,17 @@ def _search_runs(batches):
 
 
 def _led(batches):
-    """Pairs of a hot run's most central class and another whose points let them link."""
+    """Pairs of a hot run's most central class and another whose points and parities let them link."""
     trim()
     for batch in batches:
         got = set()
-        for c, at, point, d, lead, other in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for c, at, point, odd, d, lead, other, more in zip(*(batch.column(i).to_pylist() for i in range(8))):
             n, m = at >> 32, lead >> 32
-            if c != d and enough(min(n - (at & 0xFFFFFFFF), m - (lead & 0xFFFFFFFF)), n, m):
-                a, b = folded([point, other])
+            if c != d and enough(min(n - (at & PLACE), m - (lead & PLACE)), n, m):
+                a, b = vectors_of([point, other])
                 if enough(min(int(np.minimum(a, b).sum()), n, m), n, m):
-                    got.add((min(c, d), max(c, d)))
+                    if enough((n + m - apart(odd, more)) // 2, n, m):
+                        got.add((min(c, d), max(c, d)))
         yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(2)], names=["x", "y"])
 
 
@@ -407,17 +467,20 @@ def _search_tile(table: pa.Table, tried: pa.Table | None, forests: int) -> pa.Ta
     within = table.num_rows and table.column("low")[0].as_py() == table.column("high")[0].as_py()
     there = here if within else np.nonzero(tile == table.column("high")[0].as_py())[0] if table.num_rows else here
     if len(names) > 1 and len(here) and len(there):
-        points = folded(table.column("point").to_pylist())
-        n, left = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+        points, odd = vectors_of(table.column("point").to_pylist()), Parities(table.column("odd").to_pylist())
+        n, left = at >> 32, (at >> 32) - (at & PLACE)
         tree = RTree(points[there], n[there], label[there])
         kept = _Forests(len(names), forests)
         for i in here:
             js = there[tree.search(points[i], n[i], label[i])]
             js = js[js > i] if within else js
             js = js[enough(np.minimum(left[i], left[js]), n[i], n[js])]
+            far = odd.apart(i, js)
+            fits = enough((n[i] + n[js] - far) // 2, n[i], n[js])
+            js, far = js[fits], far[fits]
             if not len(js):
                 continue
-            near = np.minimum(points[js], points[i]).sum(1) / (n[js] + n[i])
+            near = -far / (n[js] + n[i])
             for j in js[np.argsort(-near, kind="stable")].tolist():
                 pair = (min(cls[i], cls[j]), max(cls[i], cls[j]))
                 if pair not in done and kept.takes(label[i], label[j]):
@@ -437,7 +500,7 @@ _FOUND = "key long, low long, high long, x long, y long"
 
 
 def tiles(hot: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFrame:
-    """key, low, high, tile, cls, at, point, label: the rows of hot runs for every pair of tiles that may hold a link across components.
+    """key, low, high, tile, cls, at, point, odd, label: the rows of hot runs for every pair of tiles that may hold a link across components.
 
     Linked sets differ in size by a quarter at most, so they lie in one band or in
     neighbours. A band of a run is cut into tiles by class.
@@ -445,7 +508,7 @@ def tiles(hot: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFrame:
     rows = hot.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     rows = rows.withColumn("band", F.floor(F.log(F.shiftright("at", 32).cast("double")) / F.lit(float(np.log(1.26)))).cast("long"))
     each = rows.groupBy("key", "band").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(F.length("point")).alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most")
+        F.count(F.lit(1)).alias("m"), F.sum(F.length("odd")).alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most")
     )
     each = each.withColumn("cut", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("bytes") / TILE_BYTES)).cast("long"))
     up = each.select("key", (F.col("band") - 1).alias("band"), F.col("cut").alias("cut_up"), F.col("least").alias("least_up"), F.col("most").alias("most_up"))
@@ -469,7 +532,7 @@ def tiles(hot: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFrame:
         F.transform(all_of("up"), lambda k: F.struct(F.col("tile").alias("low"), name(F.col("band") + 1, k).alias("high"))),
         F.transform(all_of("down"), lambda k: F.struct(name(F.col("band") - 1, k).alias("low"), F.col("tile").alias("high"))),
     )
-    return rows.withColumn("_m", F.explode(meet)).select("key", F.col("_m.low").alias("low"), F.col("_m.high").alias("high"), "tile", "cls", "at", "point", "label")
+    return rows.withColumn("_m", F.explode(meet)).select("key", F.col("_m.low").alias("low"), F.col("_m.high").alias("high"), "tile", "cls", "at", "point", "odd", "label")
 
 
 # --- verification and components -------------------------------------------------------------
@@ -581,11 +644,12 @@ def spanning(hot: DataFrame, links: DataFrame, firsts: DataFrame, docs: DataFram
         pairs = materialise(pairs, "jaccard-pairs")
         if not pairs.isEmpty():
             new = verified(pairs, firsts, docs)
-            star = labels.select(F.col("cls").alias("x"), F.col("label").alias("y"))
-            old, labels = labels, components(star.union(new))
+            if not new.isEmpty():
+                star = labels.select(F.col("cls").alias("x"), F.col("label").alias("y"))
+                old, labels = labels, components(star.union(new))
+                release(old)
             # pairs tried before that this round's tiles chose as well did not hold either
             failed = found.join(new, ["x", "y"], "left_anti")
-            release(old)
         else:
             new, failed = None, found
         before, tried = tried, materialise(failed if tried is None else failed.unionByName(tried).distinct(), "jaccard-tried")
@@ -606,31 +670,36 @@ def members(docs: DataFrame, hot: int = HOT, tile: int = TILE) -> DataFrame:
     sketches = materialise(sketch(docs, often), "jaccard-sketch")
     points = sketches.filter("keys is not null")
     rows = materialise(sketches.select("doc_id", "text_hash", "n", "cls"), "jaccard-rows")
-    vectors = materialise(points.groupBy("cls").agg(F.first("point").alias("point")), "jaccard-points")
-    firsts = points.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("cls", "one.doc_id", "one.text_hash")
-    firsts = materialise(firsts, "jaccard-firsts")
     bound_batches(spark, 500)
-    postings = points.select("cls", "n", "keys", "rare").mapInArrow(_postings, "key long, salt int, cls long, at long")
+    postings = points.select("cls", "n", "keys", "rare").mapInArrow(_postings, "key long, cls long, at long")
     slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     bound_batches(spark, 10_000)
-    dealt = postings.repartition(slots, "key", "salt").sortWithinPartitions("key", "salt", "cls")
+    dealt = postings.repartition(slots, F.col("key"), F.expr(SALT)).sortWithinPartitions(F.col("key"), F.expr(SALT), F.col("cls"))
     shared = materialise(dealt.mapInArrow(_shared, "key long, cls long, at long"), "jaccard-shared")
+    release()
+    vectors = materialise(points.groupBy("cls").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("odd").alias("odd")), "jaccard-points")
+    firsts = points.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("cls", "one.doc_id", "one.text_hash")
+    firsts = materialise(firsts, "jaccard-firsts")
     release(sketches)
     relative = F.expr("(at & 4294967295) / shiftright(at, 32)")
     runs = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(relative.alias("far"), "cls", "at")).alias("lead"))
     runs = materialise(runs.filter(F.col("m") > hot).select("key", F.col("lead.cls").alias("lead"), F.col("lead.at").alias("lead_at")), "jaccard-hot")
     heads = runs.select(F.col("key").alias("_key"))
-    cold = join_small(shared, heads, F.col("key") == F.col("_key"), "left_anti").join(vectors, "cls").select("key", "cls", "at", "point")
+    cold = join_small(shared, heads, F.col("key") == F.col("_key"), "left_anti").join(vectors.select("cls", "point"), "cls").select("key", "cls", "at", "point")
     found = cold.repartition(slots, "key").sortWithinPartitions("key", "cls").mapInArrow(_search_runs, "x long, y long").distinct()
-    warm = join_small(shared, heads, F.col("key") == F.col("_key"), "left_semi").join(vectors, "cls").select("key", "cls", "at", "point")
+    met = materialise(found, "jaccard-met")
+    bound_batches(spark, 2_000)
+    some = materialise(bounded(met, vectors), "jaccard-pairs")
+    warm = join_small(shared, heads, F.col("key") == F.col("_key"), "left_semi").join(vectors.drop("n"), "cls").select("key", "cls", "at", "point", "odd")
     warm = materialise(warm, "jaccard-warm")
-    leads = runs.join(vectors, F.col("lead") == F.col("cls")).select(F.col("key").alias("_key"), "lead", "lead_at", F.col("point").alias("lead_point"))
+    release(shared)
+    leads = runs.join(vectors, F.col("lead") == F.col("cls")).select(F.col("key").alias("_key"), "lead", "lead_at", F.col("point").alias("lead_point"), F.col("odd").alias("lead_odd"))
     leads = materialise(leads, "jaccard-leads")
-    led = join_small(warm, leads, F.col("key") == F.col("_key"), "inner", PICK // 100).select("cls", "at", "point", "lead", "lead_at", "lead_point")
+    release(vectors, runs, met)
+    led = join_small(warm, leads, F.col("key") == F.col("_key"), "inner", PICK // 100).select("cls", "at", "point", "odd", "lead", "lead_at", "lead_point", "lead_odd")
     led = led.mapInArrow(_led, "x long, y long").distinct()
-    some = materialise(found, "jaccard-pairs")
     pairs = materialise(some.union(led).distinct(), "jaccard-pairs")
-    release(shared, vectors, leads, runs, some)
+    release(leads, some)
     links = verified(pairs, firsts, docs)
     labels = spanning(warm, links, firsts, docs, tile)
     release(pairs, links, warm, firsts)
