@@ -9,28 +9,36 @@ calibration of these differences (and of how far the text shrinks at all),
 fitted on labelled documents that no dictionary has seen, turns them into a
 score from 0 to 1.
 
-Only the fit is bounded: at most ``per_class`` documents of either label, chosen
-by hash, feed dictionaries and calibration. Every text is scored whole, row by
-row, without a shuffle.
+Only the fit is bounded: at most ``per_class`` labelled ids of either label, of
+those that have a document, chosen by hash. Two thirds feed the dictionaries,
+each text with the same share in both views, cut as slices spread over the whole
+text; the others calibrate, whole. Slices and differences are made where the
+texts are, so the driver gets dictionaries and numbers of a fixed size, no texts.
+Every text is scored whole, row by row, without a shuffle.
 
 Edge cases: null and empty texts have differences of 0 and get the score of a
-text that says nothing; labels that are null or contradict each other for a
-doc_id are not learned from; without labels of both classes every score is 0.5;
-extra columns are kept apart and never read; an empty table gives an empty
-result.
+text that says nothing; a text of any length is scored whole; labels that are null
+or contradict each other for a doc_id are not learned from; of several rows of a
+labelled id the smallest text is learned from, once, and each row is scored; ids
+may be of any type; without labels of both classes every score is 0.5; ties go to
+1 (a score of 0.5 predicts 1); extra columns, whatever their names, are kept apart
+and never read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import bound_batches, forget, utf8
 
-#: Labelled documents of each class the fit may read; dictionary bytes of the text and shape views; block bytes; zstd level; bytes that one document may give a dictionary.
-PER_CLASS, TEXT_DICT, SHAPE_DICT, BLOCK, LEVEL, PER_DOC = 3_000, 512 << 10, 128 << 10, 4096, 3, 4096
+#: Labelled documents of each class the fit may read; dictionary bytes of the text and shape views; block bytes; zstd level; bytes of a slice of a document's share.
+PER_CLASS, TEXT_DICT, SHAPE_DICT, BLOCK, LEVEL, SLICE = 2_400, 512 << 10, 256 << 10, 4096, 3, 256
 _SHAPE = bytes(
     ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 192 else ord("0") if 48 <= c <= 57 else ord("a") if c >= 128 else c for c in range(256)
 )
@@ -97,46 +105,78 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1
     return mean.tolist(), scale.tolist(), w.tolist()
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[bytes, int]], float]:
-    """At most ``per_class`` texts of either label, in hash order, and the share of label 1 among all labels that may be learned."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[DataFrame | None, dict[tuple[int, bool], int], float]:
+    """(quality, h, calibrates, text) of at most ``per_class`` ids of either label, how many there are of each kind, and the share of label 1 among all that may be learned."""
     agreed = labels.filter(F.col("quality").isin(0, 1) & trainable()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     agreed = agreed.filter("low = high").select("doc_id", F.col("low").alias("quality"), F.md5(F.col("doc_id").cast("string")).alias("h"))
-    picked = agreed.filter("quality = 0").orderBy("h", "doc_id").limit(per_class).union(agreed.filter("quality = 1").orderBy("h", "doc_id").limit(per_class))
-    rows = picked.collect()
-    if not rows:
-        return [], 0.5
+    here = agreed.join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi")
+    first = lambda label: here.filter(F.col("quality") == label).orderBy("h", "doc_id").limit(per_class)
+    rows = first(0).union(first(1)).collect()
+    n = {label: sum(r.quality == label for r in rows) for label in (0, 1)}
+    if not all(n.values()):
+        return None, {}, 0.5
     share = agreed.agg(F.avg("quality")).first()[0]
+    place: dict[int, int] = {0: 0, 1: 0}
+    known, counts = [], {}
+    for r in sorted(rows, key=lambda r: (r.quality, r.h, str(r.doc_id))):
+        calibrates = place[r.quality] >= max(1, 2 * n[r.quality] // 3)
+        place[r.quality] += 1
+        counts[r.quality, calibrates] = counts.get((r.quality, calibrates), 0) + 1
+        known.append((r.doc_id, int(r.quality), r.h, calibrates))
+    spark = docs.sparkSession
+    kind = agreed.schema["doc_id"].dataType.simpleString()
     # 2 * per_class rows at most: a proven bound for the broadcast
-    few = docs.sparkSession.createDataFrame([(r.doc_id, r.quality, r.h) for r in rows], "doc_id long, quality int, h string")
-    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").filter("text is not null").orderBy("h", "doc_id", "text").limit(2 * per_class).collect()
-    return [(r.text.encode(), r.quality) for r in got], share
+    few = spark.createDataFrame(known, f"doc_id {kind}, quality int, h string, calibrates boolean")
+    got = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(few), "doc_id")
+    got = got.groupBy("quality", "h", "calibrates").agg(F.min("text").alias("text"))
+    return materialise(got, "quality-sample"), counts, share
+
+
+def spread(view: bytes, size: int, seed: str, piece: int = SLICE) -> bytes:
+    """``size`` bytes of a text (all, if it has fewer), as slices at hashed places of equal stretches of it."""
+    if len(view) <= size:
+        return view
+    n = max(1, size // piece)
+    each, stretch = size // n, len(view) / n
+    out = []
+    for i in range(n):
+        room = max(0, int(stretch) - each)
+        at = int(i * stretch) + zlib.crc32(f"{seed}|{i}".encode()) % (room + 1)
+        out.append(view[at : at + each])
+    return b"\n".join(out)[:size]
+
+
+def _shares(batches, sizes):
+    for batch in batches:
+        quality, h = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        got = [[spread(v, size - 1, key) for v, size in zip(views(t), sizes[y])] for y, key, t in zip(quality, h, utf8(batch.column(2)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([g[k] for g in got], pa.binary()) for k in (0, 1)]], names=["quality", "h", "text", "shape"])
+
+
+def _differences(batches, model):
+    made = Compressors(model)
+    for batch in batches:
+        x = np.array([made.features(t) for t in utf8(batch.column(2))]).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x[:, k]) for k in range(4)]], names=["quality", "h", "a", "b", "c", "d"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text_dict: int = TEXT_DICT, shape_dict: int = SHAPE_DICT, block: int = BLOCK, level: int = LEVEL) -> dict | None:
     """The model, small enough to travel with each task; None without labels of both classes."""
-    rows, share = sample(docs, labels, per_class)
-    if len({y for _, y in rows}) < 2:
+    rows, counts, share = sample(docs, labels, per_class)
+    if rows is None:
         return None
-    sides = []
-    for label in (0, 1):
-        texts = [t for t, y in rows if y == label]
-        sides.append((texts[: max(1, 2 * len(texts) // 3)], texts[max(1, 2 * len(texts) // 3) :]))
-
-    def content(texts: list[bytes], view: int, size: int) -> bytes:
-        # an even share of each document, so one long document does not fill the dictionary; the nearest bytes are cheapest to refer to
-        each = min(PER_DOC, max(256, size // len(texts)))
-        return (b"\n".join(views(t)[view][:each] for t in texts)[:size] or b"\n").ljust(8, b"\n")
-
-    model = {
-        "dictionaries": [(content(sides[0][0], v, size), content(sides[1][0], v, size)) for v, size in ((0, text_dict), (1, shape_dict))],
-        "block": block,
-        "level": level,
-    }
-    made = Compressors(model)
-    held = [(t, y) for y in (0, 1) for t in (sides[y][1] or sides[y][0])]
-    x = np.array([made.features(t) for t, _ in held])
-    y = np.array([y for _, y in held], float)
-    model["calibration"] = calibrate(x, y, share)
+    bound_batches(docs.sparkSession)
+    sizes = {y: tuple(max(2, size // counts[y, False]) for size in (text_dict, shape_dict)) for y in (0, 1)}
+    cut = rows.filter("not calibrates").select("quality", "h", "text").mapInArrow(lambda it: _shares(it, sizes), "quality int, h string, text binary, shape binary")
+    cut = cut.orderBy("quality", "h").collect()  # the bytes of the dictionaries
+    content = lambda y, view: b"\n".join(bytes(r[view]) for r in cut if r.quality == y).ljust(8, b"\n")
+    model = {"dictionaries": [(content(0, v), content(1, v)) for v in ("text", "shape")], "block": block, "level": level}
+    # where a class has no document left to calibrate with, those of the dictionary do
+    alone = [y for y in (0, 1) if (y, True) not in counts]
+    held = rows.filter(F.col("calibrates") | F.col("quality").isin(alone or [-1])).select("quality", "h", "text")
+    held = held.mapInArrow(lambda it: _differences(it, model), "quality int, h string, a double, b double, c double, d double")
+    held = held.orderBy("quality", "h").collect()  # at most 2 * per_class rows of numbers
+    model["calibration"] = calibrate(np.array([r[2:] for r in held], float), np.array([r.quality for r in held], float), share)
     return model
 
 
