@@ -20,8 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw transcripts of all conversations, in mixed marker styles and a quarter of the turns without any, and the turns recovered from them."""
     talks = table(spark, sf_dir, "conversations")
-    return chat.parse(chat.transcripts(talks), chat.learn(talks))
+    line = chat.written()
+    model = chat.learn(chat.runs(talks.filter(chat.trainable()), line))
+    return chat.recover(talks, model, line)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
