@@ -13,11 +13,14 @@ table gives an empty ledger; extra columns are not read.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import unused
 from .common import Codes, bound_batches, forget, utf8
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted")
@@ -94,24 +97,34 @@ def measure(text: bytes) -> tuple[int, ...]:
     return len(words), points, int(counts[_SYMBOL].sum()), lines, again, repeated(codes), shouted
 
 
-def _measure(batches):
+def _measure(batches, names, drop):
     forget()
     for batch in batches:
         rows = np.array([measure(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))], np.int64).reshape(-1, len(MEASURES))
-        kept = [i for i, n in enumerate(batch.schema.names) if n != "text"]
+        kept = [i for i, n in enumerate(batch.schema.names) if n != drop]
         arrays = [batch.column(i) for i in kept] + [pa.array(rows[:, k]) for k in range(len(MEASURES))]
-        yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in kept] + list(MEASURES))
+        yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in kept] + list(names))
 
 
-def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, MEASURES and ``failed``: the bits of the rules that the document fails."""
+def measured(docs: DataFrame, names: list[str], keep_text: bool) -> DataFrame:
+    """The documents' columns and MEASURES, by the given names."""
     bound_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    got = docs.select(key, "text").mapInArrow(_measure, f"`{key}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != "text"]
+    return docs.mapInArrow(lambda it: _measure(it, names, None if keep_text else "text"), ", ".join([*fields, *[f"`{n}` long" for n in names]]))
+
+
+def bits(names: list[str]) -> Column:
+    """The failure bits of every rule, from columns that hold MEASURES by the given names."""
+    column = dict(zip(MEASURES, names))
     failed = F.lit(0)
     for name, when in RULES:
-        failed = failed.bitwiseOR(F.when(F.expr(when), bit(name)).otherwise(0))
-    return got.withColumn("failed", failed.cast("int"))
+        failed = failed.bitwiseOR(F.when(F.expr(re.sub(r"[a-z_]+", lambda m: f"`{column[m[0]]}`", when)), bit(name)).otherwise(0))
+    return failed.cast("int")
+
+
+def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, MEASURES and ``failed``: the bits of the rules that the document fails."""
+    return measured(docs.select(key, "text"), list(MEASURES), False).withColumn("failed", bits(list(MEASURES)))
 
 
 def passes(policy: str, failed: Column | str = "failed") -> Column:
@@ -131,22 +144,10 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
     )
 
 
-def _judge(batches, policy_mask):
-    forget()
-    for batch in batches:
-        rows = np.array([measure(t) for t in utf8(batch.column(batch.schema.get_field_index("text")))], np.int64).reshape(-1, len(MEASURES))
-        column = dict(zip(MEASURES, rows.T))
-        failed = np.zeros(len(rows), np.int64)
-        for name, when in RULES:
-            failed |= np.where(eval(when, {}, column), bit(name), 0)  # the rules are this module's constants
-        yield batch.filter(pa.array((failed & policy_mask) == 0))
-
-
 def filtered(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The documents that pass, with the columns they came with. Row-local: nothing is shuffled."""
-    bound_batches(docs.sparkSession)
-    wanted = mask(policy)
-    return docs.mapInArrow(lambda it: _judge(it, wanted), docs.schema)
+    """The documents that pass, with the columns they came with: the policy's mask over the ledger's bits. Row-local: nothing is shuffled."""
+    names = unused(docs.columns, *MEASURES)
+    return measured(docs, names, True).filter(passes(policy, bits(names))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """

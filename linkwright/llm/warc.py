@@ -9,8 +9,9 @@ attempts are never listed. Every record is a gzip member of its own, so a range
 read gets one record. Records with equal payloads of at least ``least`` bytes are
 stored once; the others are revisits that keep the HTTP header only.
 
-Looking up: binary search in the list of parts, then in a part's directory, then
-in one block, then a range read of the record. Reading all back goes through the
+Looking up: the table of parts, whose key ranges follow each other, gives the parts
+that can hold the key; then binary search in a part's directory, then in one block,
+then a range read of the record. Reading all back goes through the
 same index, block by block; neighbouring records of a block are fetched by one
 read, since archive and index share their order.
 
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 from ..session import join_small, materialise, new_path
 from .common import bound_batches, utf8
 
-#: Bytes from which equal payloads are stored once; records of an archive; index lines of a block; bytes between records that one read may skip.
-LEAST, RECORDS, BLOCK_LINES, GAP = 100, 8_192, 512, 1 << 16
+#: Bytes from which equal payloads are stored once; records and payload bytes of an archive; index lines of a block; bytes between records that one read may skip.
+LEAST, RECORDS, ARCHIVE_BYTES, BLOCK_LINES, GAP = 100, 8_192, 64 << 20, 512, 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _TRAILER = "<QQ"
@@ -219,7 +220,8 @@ def write(pages: DataFrame, folder: str | None = None, least: int = LEAST, recor
     joined = join_small(keyed, firsts, (F.col("digest") == F.col("same")) & (F.octet_length("html") >= least))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     dealt = joined.select("page_id", "url", "html", "digest", "key", "first", F.when(revisit, "revisit").otherwise("response").alias("kind"))
-    parts = max(1, -(-pages.select("page_id").count() // records))
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(1, -(-n // records), -(-total // ARCHIVE_BYTES))
     ordered = dealt.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
     return materialise(ordered.mapInArrow(lambda it: _write(it, folder), PARTS), "warc-parts")
 

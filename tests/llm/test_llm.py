@@ -63,6 +63,23 @@ def test_quality_odd_rows(spark, sf):
     assert quality.filtered(odd(spark), model).columns == odd(spark).columns
 
 
+def test_quality_repeats_and_ids(spark):
+    """Repeats of a labelled id do not fill the sample; ids may be strings; every sampled text enters both views, from all over it."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    first = docs.join(labels.filter("quality = 0"), "doc_id", "left_semi").orderBy(F.md5(F.col("doc_id").cast("string"))).limit(1)
+    copies = first.crossJoin(spark.range(10_000)).select("doc_id", "text")
+    plain, many = quality.fit(docs, labels, 60), quality.fit(docs.union(copies), labels, 60)
+    assert plain is not None and many["dictionaries"] == plain["dictionaries"]
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    model = quality.fit(named(docs), named(labels), 60)
+    assert quality.scores(named(docs), model).filter("score between 0 and 1").count() == docs.count()
+    text = bytes(range(65, 91)) * 1000
+    got = quality.spread(text, 1024, "x")
+    assert len(got) <= 1024 and got != text[:1024] and quality.spread(b"ab", 1024, "x") == b"ab"
+
+
 # 2
 def test_mixing_odd_rows(spark):
     got = mixing.copies(odd(spark)).toPandas()
@@ -95,13 +112,70 @@ def test_mixing_targets(spark, sizes):
 
 
 # 3
-def test_chat(spark, sf):
-    talks = spark.read.parquet(f"{sf}/conversations.parquet")
-    got = chat.parse(chat.transcripts(talks), chat.learn(talks)).toPandas()
-    want = talks.toPandas()
-    n = collections.Counter(zip(want.conv_id, want.role))
-    m = collections.Counter(zip(got.conv_id, got.role))
-    assert sum((n & m).values()) / sum(n.values()) > 0.95
+def by_markers(transcript):
+    """What markers alone tell: a turn begins at each marked line."""
+    return [chat._ROLE[m[1].lower()] for m in map(chat._MARKER.match, transcript.split("\n")) if m]
+
+
+def test_chat_beats_markers(spark):
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    line = chat.written()
+    model = chat.learn(chat.runs(talks.filter(chat.trainable()), line))
+    held = talks.filter(~chat.trainable())
+    raw = {r.conv_id: r.transcript for r in chat.transcripts(chat.runs(held, line)).collect()}
+    want = collections.defaultdict(list)
+    for r in held.orderBy("conv_id", "turn").collect():
+        want[r.conv_id].append(r.role)
+    got = collections.defaultdict(list)
+    for r in chat.recover(held, model, line).orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append(r.role)
+    right = sum(got[c] == want[c] for c in want) / len(want)
+    marked = sum(by_markers(raw[c]) == want[c] for c in want) / len(want)
+    assert right > 0.75 and right > marked + 0.2
+    assert QUERIES["op3_chat_formatting"](spark, "/root/testdata/sf0.01").select("conv_id").distinct().count() == talks.select("conv_id").distinct().count()
+
+
+def slow_viterbi(observed, model):
+    """The best of all paths."""
+    import itertools
+
+    best = max(
+        itertools.product(range(len(chat.STATES)), repeat=len(observed)),
+        key=lambda p: model["start"][p[0]] + sum(model["move"][a][b] for a, b in zip(p, p[1:])) + sum(model["emit"][v][s] for s, o in zip(p, observed) for v in o),
+    )
+    return list(best)
+
+
+def test_viterbi_is_best():
+    model = chat.default_model()
+    lines = ["User: what is a?", "it has", "Assistant: an answer.", "- one", "why?"]
+    observed = [chat.features(x, k % 2 == 0) for k, x in enumerate(lines)]
+    for k in range(1, 6):
+        assert chat.viterbi(observed[:k], model) == slow_viterbi(observed[:k], model)
+
+
+def test_chat_long_conversation(spark):
+    """Runs do not show: 600 turns, null and repeated turns, give what one Viterbi over the whole gives."""
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"line {i}?" if i % 2 == 0 else f"It is {i}.\n\nA: first option\nmore") for i in range(600)]
+    rows += [(2, 0, "user", "hello?"), (2, 1, "assistant", None), (2, 2, "user", "x"), (3, None, "user", "a"), (3, None, "assistant", "b"), (4, 0, None, None), (None, 0, "user", "hm")]
+    rows += [(5, 0, "user", "same")] * 3000
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("run", F.lit("x")).withColumn("piece", F.lit(1)).withColumn("_cut", F.lit(1))
+    line = chat.written()
+    model = chat.learn(chat.runs(talks, line))
+    got = collections.defaultdict(list)
+    for r in chat.recover(talks, model, line, run=50).orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.turn, r.role, r.text))
+        assert r.rendered == chat.render([(r.role, r.text)])
+    whole = {r.conv_id: r.transcript for r in chat.transcripts(chat.runs(talks, line, run=10**6, most=1 << 30)).collect() if r.conv_id != 5}
+    for c, t in whole.items():
+        assert got[c] == [(k, role, text) for k, (role, text) in enumerate(chat.turns(t, model))]
+    assert [n for n, _, _ in got[5]] == list(range(len(got[5]))) and len(got[5]) == 3000
+    assert chat.recover(talks.limit(0), model, line).count() == 0
+    letters = lambda x: re.sub(r"[^a-z0-9:]", "", x.lower())
+    assert "a:firstoption" in letters(got[1][1][2])
+
+
+def test_chat_markers():
     model = chat.default_model()
     text = "System: be kind\n### Human: what is a?\nit has\nNote: two lines\n**Assistant:** an answer.\nUser: ok"
     assert [r for r, _ in chat.turns(text, model)] == ["system", "user", "assistant", "user"]
@@ -232,14 +306,25 @@ def test_rtree_finds_all():
     points[0, 0] = 255
     raw = points
     sizes = points.sum(1).astype(np.int64)
-    points = np.concatenate([jaccard.folded([p.tobytes()]) for p in points])
+    points = jaccard.vectors_of([p.tobytes() for p in points])
     tree = jaccard.RTree(points, sizes)
     for i in range(len(points)):
         bound = np.minimum(np.minimum(points, points[i]).sum(1), np.minimum(sizes, sizes[i]))
         want = {j for j in range(len(points)) if j != i and jaccard.enough(bound[j], sizes[i], sizes[j])}
         assert set(tree.search(points[i], sizes[i], i).tolist()) == want
-    coarse = jaccard.folded([raw[0].tobytes(), np.zeros(32, np.uint8).tobytes()])  # a full count bounds nothing
-    assert coarse.shape == (2, 32) and coarse[0, 0] >= 1 << 16
+    assert points[0, 0] >= 1 << 16  # a full count bounds nothing
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (3, 90, 130, 700)]
+    sets += [np.unique(np.concatenate([s[len(s) // 8 :], rng.integers(0, 1 << 62, len(s) // 6).astype(np.uint64)])) for s in sets]
+    odd = jaccard.Parities([jaccard.parities(s).tobytes() for s in sets])
+    for i, a in enumerate(sets):
+        apart = odd.apart(i, np.arange(len(sets)))
+        true = np.array([len(np.setxor1d(a, b)) for b in sets])
+        assert (apart <= true).all() and apart[i] == 0
+    assert odd.apart(3, np.array([7]))[0] > 0.8 * len(np.setxor1d(sets[3], sets[7]))
 
 
 def test_jaccard_many_components(spark):
@@ -411,7 +496,7 @@ def test_html_scores_decide_in_articles(page, want):
 def test_ann(spark, sf):
     base = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     bad = spark.createDataFrame(
-        [(2000, None), (2020, []), (2040, [0.0] * 64), (2060, [float("nan")] * 64), (2080, [None] * 64), (2100, [1.0, 2.0])], "vec_id long, embedding array<float>"
+        [(2000, None), (2020, []), (2040, [0.0] * 64), (2060, [float("nan")] * 64), (2080, [None] * 64)], "vec_id long, embedding array<float>"
     )
     same = base.filter("vec_id = 20").withColumn("vec_id", F.explode(F.array([F.lit(x).cast("long") for x in range(3000, 3060)])))
     every = base.union(bad).union(same).union(base.filter("vec_id = 40"))
@@ -434,6 +519,33 @@ def test_ann(spark, sf):
     assert ann.search(every.limit(0), every.limit(0)).count() == 0
 
 
+def test_ann_several_parts(spark):
+    """6,000 clustered vectors in 23 parts and several shards, two lengths, clashing columns: recall, order, and how much was visited."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 24))
+    x = np.concatenate([c + 0.4 * rng.normal(size=(100, 24)) for c in centres])
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(10_000 + i, [1.0, float(i)]) for i in range(30)] + [(20_000, [1.0])]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("part", F.lit("x")).withColumn("shards", F.lit(1)).withColumn("kind", F.lit(2))
+    got = ann.search(base, base.filter("vec_id % 20 = 0"), shard=100).toPandas()
+    found = total = 0
+    for q in range(0, 6000, 20):
+        s = (x * x[q]).sum(1)
+        want = [k for k in np.lexsort((np.arange(len(x)), -s)) if k != q][:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(zip(-mine.score, mine.vec_id)) == sorted(zip(-mine.score, mine.vec_id)) and len(mine) == 20
+        found += len(set(mine.vec_id) & set(want))
+        total += 20
+    assert found / total >= 0.9
+    short = got[got.query_id == 10_000].sort_values("rank").vec_id.tolist()  # all products with (1, 0) are 1
+    assert short == list(range(10_001, 10_021)) and not (got.query_id == 20_000).any()
+    model = ann.fit(x)
+    p = ann.probabilities(x[::20], model)
+    order = np.argsort(-p, axis=1)
+    before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
+    sizes = np.bincount(ann.probabilities(x, model).argmax(1), minlength=model["parts"])
+    assert model["parts"] == 23 and (np.where(before < ann.MASS, sizes[order], 0).sum(1) / len(x)).mean() < 0.5
+
+
 def test_ann_partitions():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 32))
