@@ -499,13 +499,26 @@ def _searcher(forests: int):
 _FOUND = "key long, low long, high long, x long, y long"
 
 
-def tiles(hot: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFrame:
+def tiles(hot: DataFrame, labels: DataFrame, tile: int = TILE, only: DataFrame | None = None) -> DataFrame:
     """key, low, high, tile, cls, at, point, odd, label: the rows of hot runs for every pair of tiles that may hold a link across components.
 
-    Linked sets differ in size by a quarter at most, so they lie in one band or in
-    neighbours. A band of a run is cut into tiles by class.
+    A run that fits a tile is one. In larger ones, linked sets differ in size by a
+    quarter at most, so they lie in one band or in neighbours, and a band is cut into
+    tiles by class. ``only``: keys of the runs that count.
     """
-    rows = hot.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = labels.select(F.col("cls").alias("_cls"), "label")
+    rows = join_small(hot, named, F.col("cls") == F.col("_cls")).drop("_cls").withColumn("label", F.coalesce("label", "cls"))
+    if only is not None:
+        rows = join_small(rows, only.select(F.col("key").alias("_key")).distinct(), F.col("key") == F.col("_key"), "left_semi")
+    per = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("odd")).alias("bytes"), F.min("label").alias("a"), F.max("label").alias("b"))
+    per = per.filter("a <> b").select(F.col("key").alias("_key"), ((F.col("m") <= tile) & (F.col("bytes") <= TILE_BYTES)).alias("whole"))
+    per = materialise(per, "jaccard-open")
+    rows = join_small(rows, per, F.col("key") == F.col("_key"), "inner").drop("_key")
+    zero = F.lit(0).cast("long")
+    one = rows.filter("whole").select("key", zero.alias("low"), zero.alias("high"), zero.alias("tile"), "cls", "at", "point", "odd", "label")
+    if per.filter("not whole").isEmpty():
+        return one
+    rows = rows.filter("not whole").drop("whole")
     rows = rows.withColumn("band", F.floor(F.log(F.shiftright("at", 32).cast("double")) / F.lit(float(np.log(1.26)))).cast("long"))
     each = rows.groupBy("key", "band").agg(
         F.count(F.lit(1)).alias("m"), F.sum(F.length("odd")).alias("bytes"), F.min("label").alias("least"), F.max("label").alias("most")
@@ -532,7 +545,8 @@ def tiles(hot: DataFrame, labels: DataFrame, tile: int = TILE) -> DataFrame:
         F.transform(all_of("up"), lambda k: F.struct(F.col("tile").alias("low"), name(F.col("band") + 1, k).alias("high"))),
         F.transform(all_of("down"), lambda k: F.struct(name(F.col("band") - 1, k).alias("low"), F.col("tile").alias("high"))),
     )
-    return rows.withColumn("_m", F.explode(meet)).select("key", F.col("_m.low").alias("low"), F.col("_m.high").alias("high"), "tile", "cls", "at", "point", "odd", "label")
+    parts = rows.withColumn("_m", F.explode(meet)).select("key", F.col("_m.low").alias("low"), F.col("_m.high").alias("high"), "tile", "cls", "at", "point", "odd", "label")
+    return one.unionByName(parts)
 
 
 # --- verification and components -------------------------------------------------------------
@@ -628,7 +642,7 @@ def spanning(hot: DataFrame, links: DataFrame, firsts: DataFrame, docs: DataFram
     labels = components(links)
     tried, forests = None, 1
     while True:
-        rows = tiles(hot, labels, tile)
+        rows = tiles(hot, labels, tile, tried)
         keys = ["key", "low", "high"]
         if tried is None:
             found = rows.groupBy(*keys).applyInArrow(lambda t: _search_tile(t, None, 1), _FOUND)

@@ -80,6 +80,24 @@ QUERIES = {
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op4_quality_rules": rules.ORACLE,
+    "op6_ngram_jaccard": """
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), g AS (
+  SELECT rid, doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w
+), s AS (
+  SELECT rid, len(grams) AS n, unnest(grams) AS gram FROM g
+), p AS (
+  SELECT a.rid AS x, b.rid AS y, a.n AS n, b.n AS m, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.rid < b.rid GROUP BY 1, 2, 3, 4
+), e AS (
+  SELECT x AS a, y AS b FROM p WHERE 100 * c >= 80 * (n + m - c) UNION ALL SELECT y, x FROM p WHERE 100 * c >= 80 * (n + m - c)
+), r(rid, other) AS (
+  SELECT rid, rid FROM g UNION SELECT r.rid, e.b FROM r JOIN e ON r.other = e.a
+)
+SELECT g.doc_id, len(g.grams)::BIGINT AS n_shingles, c.component_id
+FROM g JOIN (SELECT r.rid, min(o.doc_id) AS component_id FROM r JOIN g o ON o.rid = r.other GROUP BY r.rid) c USING (rid)
+""",
     "op5_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
