@@ -91,17 +91,61 @@ def spell(text: str) -> str:
     return "".join(out)
 
 
-def spelled(df: DataFrame, column: str) -> DataFrame:
-    """The column in ASCII. The Arrow function sees each distinct string with other letters than Latin-1's once."""
-    odd = F.col(column).rlike(r"[^\x00-\xFF]")
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(spell)
-
-    table = df.filter(odd).select(F.col(column).alias("_raw")).distinct().withColumn("_ascii", run("_raw"))
-    joined = df.join(table, F.when(odd, F.col(column)) == F.col("_raw"), "left")
-    return joined.withColumn(column, F.coalesce("_ascii", plain(F.col(column)))).drop("_raw", "_ascii")
+def _devanagari() -> tuple[dict[str, str], dict[str, str]]:
+    """(letters, signs) of the script by the rule of ``spell``; a letter that keeps its own a ends in a mark."""
+    letters, signs = {}, {}
+    for code in range(0x0900, 0x0980):
+        ch = chr(code)
+        name = unicodedata.name(ch, "")
+        if name.startswith("DEVANAGARI LETTER ") and not unicodedata.decomposition(ch):
+            sound = name[18:].lower().replace("ttt", "t")
+            letters[ch] = sound[:-1] + MARK if sound.endswith("a") and len(sound) > 1 else sound
+        elif name.startswith("DEVANAGARI VOWEL SIGN "):
+            signs[ch] = name[22:].lower()
+        elif name == "DEVANAGARI SIGN VIRAMA":
+            signs[ch] = ""
+        elif name.startswith("DEVANAGARI SIGN ANUSVARA"):
+            letters[ch] = "n"
+        elif name == "DEVANAGARI SIGN NUKTA":
+            letters[ch] = ""
+    return letters, signs
+
+
+def _one_letter() -> tuple[str, str]:
+    """Letters beyond Latin-1 and digits of other scripts that are one ASCII sign once accents are dropped."""
+    froms, tos = list("ŁłĐđĦħı"), list("LlDdHhi")  # a stroke or a missing dot is no accent
+    for code in (*range(0x0100, 0x0250), *range(0x1E00, 0x1F00), *range(0x0660, 0x0DF0)):
+        ch = chr(code)
+        base = unicodedata.normalize("NFKD", ch)
+        digit = unicodedata.decimal(ch, None)
+        if digit is not None:
+            froms.append(ch)
+            tos.append(str(digit))
+        elif base[0] < "\x80" and all(unicodedata.combining(x) for x in base[1:]):
+            froms.append(ch)
+            tos.append(base[0])
+    return "".join(froms), "".join(tos)
+
+
+#: Stands for the a that a Devanagari letter carries until a sign replaces it.
+MARK = "\x01"
+DEVANAGARI, SIGNS = _devanagari()
+FURTHER = _one_letter()
+
+
+def ascii_of(c: Column) -> Column:
+    """Null to '', Latin accents removed, Devanagari spelt out; native, and only texts beyond Latin-1 pay for it.
+
+    Signs of other scripts stay; cleaning turns them into spaces.
+    """
+    text = F.coalesce(c, F.lit(""))
+    spelt = F.translate(F.translate(text, ACCENTED, PLAIN), *FURTHER)
+    for ch, sound in DEVANAGARI.items():
+        spelt = F.replace(spelt, F.lit(ch), F.lit(sound))
+    for ch, sound in SIGNS.items():
+        spelt = F.replace(F.replace(spelt, F.lit(MARK + ch), F.lit(sound)), F.lit(ch), F.lit(sound))
+    spelt = F.replace(spelt, F.lit(MARK), F.lit("a"))
+    return F.when(text.rlike(r"[^\x00-\xFF]"), F.when(text.rlike(r"[\u0900-\u097F]"), spelt).otherwise(F.translate(F.translate(text, ACCENTED, PLAIN), *FURTHER))).otherwise(plain(c))
 
 
 def squeeze(c: Column) -> Column:
@@ -127,7 +171,7 @@ def tokens(c: Column) -> Column:
 
 def clean_names(df: DataFrame, name: str = "business_name") -> DataFrame:
     """Adds name_c, name_pre_c, name_post_c, is_web, has_alias."""
-    raw = F.trim(F.lower(plain(F.col(name))))
+    raw = F.trim(F.lower(ascii_of(F.col(name))))
     x = df.withColumn("_raw", raw).withColumn("is_web", F.col("_raw").rlike(WEB))
     x = x.withColumn("_raw", F.when(F.col("is_web"), F.replace(F.regexp_extract("_raw", WEB, 1), F.lit("-"), F.lit(" "))).otherwise(F.col("_raw")))
     c = F.regexp_replace(F.replace(F.regexp_replace("_raw", r"\bid\s*[:#]?\s*\d+", " "), F.lit("&"), F.lit(" and ")), r"[.']", "")
@@ -143,7 +187,7 @@ def clean_names(df: DataFrame, name: str = "business_name") -> DataFrame:
 
 
 def clean_address(c: Column) -> Column:
-    a = F.lower(plain(c))
+    a = F.lower(ascii_of(c))
     a = F.regexp_replace(F.regexp_replace(a, MISSING, " "), r"p\.?\s?o\.?\s?box", " pobox ")
     a = F.regexp_replace(F.regexp_replace(a, r"(\d+)(?:st|nd|rd|th)\b", "$1"), r"[^a-z0-9]+", " ")
     a = F.regexp_replace(F.regexp_replace(a, r"(\d)([a-z])", "$1 $2"), r"([a-z])(\d)", "$1 $2")
@@ -186,6 +230,6 @@ def normalize(records: DataFrame, name_alias: DataFrame | None = None, addr_alia
             "name_nosp": F.replace("name_core", F.lit(" "), F.lit("")),
             "nums": F.array_distinct(F.filter(tokens(F.col("addr_n")), lambda t: t.rlike(r"^\d+$"))),
             "has_addr": F.col("addr_n") != "",
-            "non_ascii": F.concat(F.coalesce("business_name", F.lit("")), F.coalesce("business_address", F.lit(""))).rlike(r"[^\x00-\x7F]"),
+            "non_ascii": F.coalesce("business_name", F.lit("")).rlike(r"[^\x00-\x7F]"),
         }
     ).drop("business_name", "business_address", "name_c", "name_pre_c", "name_post_c", "_a", "_name_map", "_addr_map")

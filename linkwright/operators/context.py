@@ -53,7 +53,7 @@ def probability_context(pairs: DataFrame, p: str = "p") -> DataFrame:
         {
             "rank_q": rank(["q"], p, "t"),
             "sum_q": F.sum(p).over(q),
-            "n05_q": F.sum((F.col(p) >= 0.5).cast("long")).over(q),
+            "n05_q": F.sum((F.col(p) > 0.5).cast("long")).over(q),
             "best_other_q": zero(best_other(["q"], p, "t")),
             "rank_src": rank(["q", "src"], p, "t"),
             "best_other_src": zero(best_other(["q", "src"], p, "t")),
@@ -78,20 +78,22 @@ def side_context(pairs: DataFrame, side: str, p: str = "p") -> DataFrame:
 
 
 def stacker_context(pairs: DataFrame, with_targets: bool = True) -> DataFrame:
-    """Context for a stand-alone second stage on string ids: source from the candidate's prefix."""
+    """Context for a stand-alone second stage on string ids: source from the candidate's prefix; the best others are 0 without one."""
     x = pairs.withColumn("src", F.substring("t", 1, 2))
     q = Window.partitionBy("q")
+    other = lambda by, tie: F.coalesce(best_other(by, "p", tie), F.lit(0.0))
     x = x.withColumns(
         {
             "rank_q": rank(["q"], "p", "t"),
             "n_q": F.count(F.lit(1)).over(q),
             "sum_q": F.sum("p").over(q),
-            "top_q": F.max("p").over(q),
-            "margin_q": margin(["q"], "p", "t"),
+            "n05_q": F.sum((F.col("p") > 0.5).cast("long")).over(q),
+            "best_other_q": other(["q"], "t"),
             "rank_src": rank(["q", "src"], "p", "t"),
-            "gap_src": F.col("p") - F.max("p").over(Window.partitionBy("q", "src")),
+            "best_other_src": other(["q", "src"], "t"),
         }
-    )
+    ).withColumn("margin_q", F.col("p") - F.col("best_other_q"))
     if with_targets:
-        x = x.withColumns({"rank_t": rank(["t"], "p", "q"), "n_t": F.count(F.lit(1)).over(Window.partitionBy("t")), "margin_t": margin(["t"], "p", "q")})
+        x = x.withColumns({"rank_t": rank(["t"], "p", "q"), "n_t": F.count(F.lit(1)).over(Window.partitionBy("t")), "best_other_t": other(["t"], "q")})
+        x = x.withColumn("margin_t", F.col("p") - F.col("best_other_t"))
     return x

@@ -144,6 +144,34 @@ def shift_grid(pairs: DataFrame, country: str, shifts: list[float], least: float
     return row.select(F.explode(listed).alias("x"), "others").select("x.shift", "x.empty_share", F.col("others").alias("others_share"))
 
 
+def country_shift(pairs: DataFrame, entities: DataFrame, country: str, rule: str, value: float, low: float = -2.0, high: float = 6.0, rounds: int = 14) -> float:
+    """The shift of one country's logits at which its share of entities without a link is the others', for any rule.
+
+    Larger shifts leave more of them empty, so it is bisected; each round is one
+    plan over the pairs that returns two numbers. pairs: q, t, p; entities: q, country.
+    """
+    rows = pairs.join(entities, "q")
+    here = F.col("country") == country
+    for _ in range(rounds):
+        middle = (low + high) / 2
+        linked = decide(_moved(rows, country, middle), rule, value).select("q").distinct().withColumn("_linked", F.lit(1.0))
+        x = entities.join(linked, "q", "left").withColumn("_empty", 1 - F.coalesce("_linked", F.lit(0.0)))
+        own, others = x.agg(F.avg(F.when(here, F.col("_empty"))), F.avg(F.when(~here, F.col("_empty")))).first()
+        if own is None or others is None:
+            raise ValueError(f"{country} and other countries need entities")
+        low, high = (middle, high) if own < others else (low, middle)
+    return (low + high) / 2
+
+
+def _moved(rows: DataFrame, country: str, by: float) -> DataFrame:
+    return rows.withColumn("p", F.when(F.col("country") == country, shifted(F.col("p"), by)).otherwise(F.col("p")))
+
+
+def decide_shifted(pairs: DataFrame, entities: DataFrame, country: str, rule: str, value: float, by: float) -> DataFrame:
+    """The links that a rule keeps once a country's logits are shifted."""
+    return decide(_moved(pairs.join(entities, "q"), country, by), rule, value)
+
+
 def fp_cost(k: Column) -> Column:
     """Loss of F0.5 by one wrong link beside k right ones; 1 with none."""
     return F.when(k <= 0, F.lit(1.0)).otherwise(1 - (1 + BETA2) * k / (BETA2 * k + k + 1))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,8 +184,61 @@ def log_loss(scored: DataFrame, p: str = "p", y: str = "y", clip: float = 1e-6)
     )
 
 
+def record_stats(q: DataFrame, t: DataFrame) -> DataFrame:
+    """Per country: entities, targets and their ratio, shares of entities that share a core name and of targets that have one's, and of targets by kind.
+
+    Both sides normalised. Counts of names are aggregated before they are joined.
+    """
+    names = q.groupBy("country", "name_core").agg(F.count(F.lit(1)).alias("n"))
+    share = lambda c: F.avg(c.cast("double"))
+    one = names.groupBy("country").agg(F.sum("n").alias("entities"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("shared"))
+    one = one.select("country", "entities", (F.col("shared") / F.col("entities")).alias("name_shared"))
+    x = t.join(names.select("country", "name_core", F.lit(True).alias("_known")), ["country", "name_core"], "left")
+    two = x.groupBy("country").agg(
+        F.count(F.lit(1)).alias("targets"),
+        share(F.col("_known").isNotNull()).alias("name_known"),
+        share(~F.col("has_addr")).alias("no_addr"),
+        *[share(F.col(c)).alias(c) for c in ("non_ascii", "is_web", "has_alias")],
+        share(F.coalesce(F.size("nums"), F.lit(0)) <= 0).alias("no_number"),
+    )
+    return one.join(two, "country", "left").withColumn("targets", F.coalesce("targets", F.lit(0))).withColumn("per_entity", F.col("targets") / F.col("entities"))
+
+
+def score_profile(pairs: DataFrame, links: DataFrame, entities: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per country: how scores are spread, to compare one split with another.
+
+    pairs: q, t, p; links: the chosen q, t; entities: q, country; targets: t,
+    country. Of entities: share linked, links each, shares whose best exclusive score
+    is low, in between, high; of links: share under 0.8 and mean score; of targets:
+    shares whose best score is near nothing and over a half.
+    """
+    from .decide import exclusive
+
+    own = exclusive(pairs.select("q", "t", "p"))
+    share = lambda c: F.avg(c.cast("double"))
+    top = own.groupBy("q").agg(F.max("p").alias("top"))
+    n = links.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    per = entities.join(top, "q", "left").join(n, "q", "left").withColumns({"top": F.coalesce("top", F.lit(0.0)), "n": F.coalesce("n", F.lit(0))})
+    of_entities = per.groupBy("country").agg(
+        F.count(F.lit(1)).alias("entities"), share(F.col("n") > 0).alias("linked"), F.avg("n").alias("links_each"), share(F.col("top") < 0.2).alias("top_low"),
+        share(F.col("top").between(0.2, 0.8)).alias("top_between"), share(F.col("top") > 0.95).alias("top_high"),
+    )
+    of_links = links.select("q", "t").join(own, ["q", "t"]).join(entities, "q").groupBy("country").agg(share(F.col("p") < 0.8).alias("link_unsure"), F.avg("p").alias("link_mean"))
+    most = targets.join(pairs.groupBy("t").agg(F.max("p").alias("most")), "t", "left").withColumn("most", F.coalesce("most", F.lit(0.0)))
+    of_targets = most.groupBy("country").agg(share(F.col("most") < 0.05).alias("target_none"), share(F.col("most") > 0.5).alias("target_likely"))
+    return of_entities.join(of_links, "country", "left").join(of_targets, "country", "left")
+
+
+def twin_summary(twins: DataFrame, by: str, levels: tuple[float, ...] = (0.3, 0.5, 0.7)) -> DataFrame:
+    """by, n, same_name (mean number of entities of the same name) and the share of targets whose best twin reaches each level."""
+    at = lambda x: F.avg((F.coalesce("best_jaccard", F.lit(0.0)) >= x).cast("double")).alias(f"twin_{round(100 * x)}")
+    return twins.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("n_twins").alias("same_name"), *[at(x) for x in levels])
+
+
 def write_metrics(rows: dict[str, DataFrame], path: str) -> None:
-    """A JSON document of one-row and few-row metric frames, written by Spark to any of its file systems."""
-    spark = next(iter(rows.values())).sparkSession
-    doc = {k: [r.asDict(recursive=True) for r in v.limit(10_000).collect()] for k, v in rows.items()}
-    spark.createDataFrame([(json.dumps(doc, default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """Metric frames as lines of JSON, {"metric": name, "row": {...}}, written by Spark to any of its file systems; nothing is collected."""
+    from .decide import union_all
+
+    each = [v.select(F.lit(k).alias("metric"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in v.columns])).alias("row")) for k, v in rows.items()]
+    line = F.concat(F.lit('{"metric": "'), "metric", F.lit('", "row": '), "row", F.lit("}"))
+    union_all(each).select(line.alias("value")).write.mode("overwrite").text(path)

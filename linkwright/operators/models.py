@@ -29,7 +29,7 @@ class PairClassifier(Protocol):
 
 @dataclass
 class Learner:
-    """algo: gbt, forest, logistic or mlp. Missing features are -1, as in the features themselves."""
+    """algo: gbt, deep (boosted trees of depth 8), forest, logistic or mlp. Missing features are -1, as in the features themselves."""
 
     algo: str = "gbt"
     rounds: int = 20
@@ -48,9 +48,9 @@ class Learner:
         common = {"featuresCol": "_x", "labelCol": "y", "predictionCol": "_pred", **self.extra}
         if weight and self.algo != "mlp":
             common["weightCol"] = weight
-        if self.algo == "gbt":
+        if self.algo in ("gbt", "deep"):
             stop = {"validationIndicatorCol": "is_es"} if self.early_stop and "is_es" in rows.columns else {}
-            est = GBTClassifier(maxIter=self.rounds, maxDepth=self.depth, stepSize=self.rate, seed=self.seed, subsamplingRate=0.8, **stop, **common)
+            est = GBTClassifier(maxIter=self.rounds, maxDepth=8 if self.algo == "deep" else self.depth, stepSize=self.rate, seed=self.seed, subsamplingRate=0.8, **stop, **common)
         elif self.algo == "forest":
             est = RandomForestClassifier(numTrees=self.rounds, maxDepth=self.depth, seed=self.seed, **common)
         elif self.algo == "logistic":

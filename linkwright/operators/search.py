@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import is_small, join_small
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,7 @@ class Search:
     name_weight: float = 1.0
     addr_weight: float = 1.0
     least: float = 0.05
+    digits: int = 9
 
 
 def skeleton(t: Column) -> Column:
@@ -92,30 +94,45 @@ def unit(f: DataFrame, keys: list[str], how: Search) -> DataFrame:
     return f.withColumn("w", F.col("idf") / norm * block).filter("w > 0")
 
 
-def products(q: DataFrame, t: DataFrame, how: Search) -> DataFrame:
-    """q, t, src, bscore, cos_name, cos_addr, noaddr (the target has no address) of all pairs that share a feature."""
-    qf, tf = features(q, how, ["rid", "country"]), features(t, how, ["rid", "country", "src", "has_addr"])
-    idf = weights(tf, t, how)
-    qw = unit(qf.join(idf, ["country", "feat"]), ["rid", "src"], how).select("country", "src", "feat", F.col("rid").alias("q"), F.col("w").alias("wq"))
-    tw = unit(tf.join(idf, ["country", "src", "feat"]), ["rid"], how).select("country", "src", "feat", "block", F.col("rid").alias("t"), "has_addr", F.col("w").alias("wt"))
-    x = qw.join(tw, ["country", "src", "feat"])
-    part = lambda b: F.sum(F.when(F.col("block") == b, F.col("wq") * F.col("wt")).otherwise(0.0))
-    got = x.groupBy("q", "t", "src").agg(part("name").alias("cos_name"), part("addr").alias("cos_addr"), F.max((~F.col("has_addr")).cast("int")).alias("noaddr"))
-    return got.withColumn("bscore", F.col("cos_name") + F.col("cos_addr"))
+#: Group names of records without one: what entities with groups and without see beside their own.
+NONE, ALL = "\x01none", "\x01all"
+
 
+def with_groups(records: DataFrame, groups: DataFrame, split: DataFrame) -> DataFrame:
+    """Adds gs: a record's region groups (groups: rid, gs), empty in countries that are not split."""
+    x = records.join(groups.select("rid", "gs"), "rid", "left")
+    x = x.join(F.broadcast(split.select("country", F.lit(True).alias("_split"))), "country", "left")  # a row a country
+    return x.withColumn("gs", F.when(F.col("_split") & (F.size("gs") > 0), F.col("gs")).otherwise(F.array().cast("array<string>"))).drop("_split")
 
-def visible(pairs: DataFrame, q_groups: DataFrame, t_groups: DataFrame, split: DataFrame) -> DataFrame:
-    """Pairs that the region rule lets meet.
 
-    An entity with groups sees targets of its groups and targets without; one
-    without sees all; countries that are not split see all. q_groups and t_groups:
-    rid, gs (array); split: rids' countries that are split (country).
+def products(q: DataFrame, t: DataFrame, how: Search, regions: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """q, t, src, bscore, cos_name, cos_addr, noaddr (the target has no address) of all pairs that share a feature and may meet.
+
+    regions (groups of entities, of targets, countries that are split): an entity
+    with groups sees targets of its groups and targets without; one without sees
+    all; countries that are not split see all. The group is part of the join key, so
+    pairs that may not meet are never formed; a pair that shares several groups
+    counts in the first. Cosines are cut to ``digits``, so that ties are ties in
+    whatever order they were summed.
     """
-    x = pairs.join(q_groups.select(F.col("rid").alias("q"), F.col("gs").alias("gq"), "country"), "q", "left")
-    x = x.join(t_groups.select(F.col("rid").alias("t"), F.col("gs").alias("gt")), "t", "left")
-    x = x.join(F.broadcast(split.select("country", F.lit(True).alias("_split"))), "country", "left")
-    free = F.col("_split").isNull() | (F.coalesce(F.size("gq"), F.lit(0)) <= 0) | (F.coalesce(F.size("gt"), F.lit(0)) <= 0)
-    return x.filter(free | F.coalesce(F.arrays_overlap("gq", "gt"), F.lit(False))).select(*pairs.columns)
+    if regions:
+        q, t = with_groups(q, regions[0], regions[2]), with_groups(t, regions[1], regions[2])
+    more = ["gs"] if regions else []
+    qf, tf = features(q, how, ["rid", "country", *more]), features(t, how, ["rid", "country", "src", "has_addr", *more])
+    idf = weights(tf, t, how)
+    qw = unit(qf.join(idf, ["country", "feat"]), ["rid", "src"], how).select("country", "src", "feat", F.col("rid").alias("q"), F.col("w").alias("wq"), *more)
+    tw = unit(tf.join(idf, ["country", "src", "feat"]), ["rid"], how).select("country", "src", "feat", "block", F.col("rid").alias("t"), "has_addr", F.col("w").alias("wt"), *more)
+    keys = ["country", "src", "feat"]
+    if regions:
+        any_, one = F.size("gs") > 0, lambda *names: F.array(*[F.lit(n) for n in names])
+        qw = qw.withColumn("g", F.explode(F.when(any_, F.concat("gs", one(NONE))).otherwise(one(ALL))))
+        tw = tw.withColumn("g", F.explode(F.when(any_, F.concat("gs", one(ALL))).otherwise(one(NONE, ALL)))).withColumnRenamed("gs", "gt")
+        x = qw.join(tw, [*keys, "g"]).filter(F.col("g").isin(NONE, ALL) | (F.col("g") == F.array_min(F.array_intersect("gs", "gt"))))
+    else:
+        x = qw.join(tw, keys)
+    part = lambda b: F.round(F.sum(F.when(F.col("block") == b, F.col("wq") * F.col("wt")).otherwise(0.0)), how.digits)
+    got = x.groupBy("q", "t", "src").agg(part("name").alias("cos_name"), part("addr").alias("cos_addr"), F.max((~F.col("has_addr")).cast("int")).alias("noaddr"))
+    return got.withColumn("bscore", F.col("cos_name") + F.col("cos_addr"))
 
 
 def top(pairs: DataFrame, k: int, score: str = "bscore") -> DataFrame:
@@ -126,22 +143,25 @@ def top(pairs: DataFrame, k: int, score: str = "bscore") -> DataFrame:
 def generate_candidates(q: DataFrame, t: DataFrame, how: Search = Search(), regions: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """q, t, src, bscore, noaddr_pass, cos_name, cos_addr.
 
-    The main pass keeps the best k per (q, src) among visible pairs; the name-only
-    pass the best k_noaddr among targets without address, whatever their region. A
-    pair that both find stays a main-pass pair.
+    The main pass keeps the best k per (q, src) among pairs that may meet; the
+    name-only pass the best k_noaddr among targets without address, which have no
+    region and meet all. A pair that both find stays a main-pass pair.
     """
-    scored = products(q, t, how)
-    main = scored.filter(F.col("bscore") > how.least)
-    main = top(visible(main, *regions) if regions else main, how.k).withColumn("noaddr_pass", F.lit(False))
+    scored = products(q, t, how, regions)
+    main = top(scored.filter(F.col("bscore") > how.least), how.k).withColumn("noaddr_pass", F.lit(False))
     if not how.k_noaddr:
         both = main
     else:
-        only = scored.filter((F.col("noaddr") == 1) & (F.col("cos_name") > how.least))
-        only = top(only, how.k_noaddr, "cos_name").withColumn("bscore", F.col("cos_name")).withColumn("noaddr_pass", F.lit(True))
-        both = main.unionByName(only.join(main.select("q", "t"), ["q", "t"], "left_anti"))
+        both = main.unionByName(name_only(scored, how).withColumn("noaddr_pass", F.lit(True)).join(main.select("q", "t"), ["q", "t"], "left_anti"))
     return both.select("q", "t", "src", "bscore", "noaddr_pass", "cos_name", "cos_addr")
 
 
+def name_only(scored: DataFrame, how: Search) -> DataFrame:
+    """The best k_noaddr per (q, src) among targets without address, by name alone."""
+    only = scored.filter((F.col("noaddr") == 1) & (F.col("cos_name") > how.least))
+    return top(only, how.k_noaddr, "cos_name").withColumn("bscore", F.col("cos_name"))
+
+
 def twins(q: DataFrame, t: DataFrame) -> DataFrame:
     """t, best_jaccard, n_twins: per target the best address-word Jaccard among entities of one country with the same sorted core name."""
     key = lambda: F.array_join(F.array_sort(tokens(F.col("name_core"))), " ")
@@ -152,6 +172,30 @@ def twins(q: DataFrame, t: DataFrame) -> DataFrame:
     return x.groupBy("t").agg(F.max(F.when(F.col("q").isNotNull(), j)).alias("best_jaccard"), F.count_distinct("q").alias("n_twins"))
 
 
+def holders(passages: DataFrame, texts: DataFrame, letters: int = 12, few: int = 1_000) -> DataFrame:
+    """q, t: texts (t, text) that hold a passage (q, passage) whole, as ``contains`` has it; an empty passage is held by none.
+
+    Up to ``few`` passages (counted) travel to the texts. Beyond, a passage's key is its middle stretch of ``letters`` (all of a shorter passage), a
+    text's keys are its distinct stretches of the lengths that occur. Keys that some
+    passage has (broadcast if few) meet in an equi-join; then the passage is searched for.
+    """
+    p = passages.filter(F.length("passage") > 0)
+    if is_small(p, few):
+        return texts.join(F.broadcast(p), F.contains("text", "passage")).select("q", "t")
+    p = p.withColumn("size", F.least(F.length("passage"), F.lit(letters)))
+    sizes = sorted(r[0] for r in p.select("size").distinct().collect())  # at most ``letters`` rows
+    # the middle of a passage is less often shared than its first words
+    at = F.floor((F.length("passage") - F.col("size")) / 2).cast("int") + 1
+    keyed = p.withColumn("key", F.xxhash64(F.substr("passage", at, F.col("size")), "size")).select("q", "passage", "key")
+    wanted = keyed.select("key").distinct()
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.substr("text", i, F.lit(n)), F.lit(n)))
+    keys = F.array_distinct(F.concat(*[grams(n) for n in sizes]))
+    places = texts.select("t", F.explode(keys).alias("key"))
+    met = join_small(places, wanted.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left_semi")
+    pairs = met.join(keyed, "key").select("q", "t", "passage").distinct()
+    return pairs.join(texts, "t").filter(F.contains("text", "passage")).select("q", "t")
+
+
 # --- dense search ----------------------------------------------------------------------------
 
 
@@ -173,16 +217,19 @@ def _dense(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     return pa.table({"id": cols[0].astype(np.int64), "other": cols[1].astype(np.int64), "sim": cols[2]})
 
 
-def dense_topk(q: DataFrame, t: DataFrame, k: int, blocks: int = 4) -> DataFrame:
+def dense_topk(q: DataFrame, t: DataFrame, k: int, rows: int = 4_096) -> DataFrame:
     """id, other, sim, rank: each row of ``q`` and its k nearest rows of ``t`` in one country, by cosine (both id, country, v).
 
-    Exact, in blocks: a country's rows are dealt into blocks on both sides, every
-    pair of blocks is one bounded task, and each returns k rows a query.
+    Exact, in blocks of about ``rows``: each country's rows are counted and dealt
+    into blocks on both sides, every pair of blocks is one bounded task, and each
+    returns k rows a query.
     """
-    deal = lambda df: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = lambda: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = q.withColumn("bq", deal(q)).withColumn("bt", every())
-    b = t.withColumn("bt", deal(t)).withColumn("bq", every())
+    blocks = lambda df, name: df.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    cuts = F.broadcast(blocks(q, "nq").join(blocks(t, "nt"), "country"))  # a row a country
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = q.join(cuts, "country").withColumn("bq", deal("nq")).withColumn("bt", every("nt"))
+    b = t.join(cuts, "country").withColumn("bt", deal("nt")).withColumn("bq", every("nq"))
     # other names on the right: both sides may be the same frame
     b = b.select(F.col("country").alias("country_t"), F.col("bq").alias("bq_t"), F.col("bt").alias("bt_t"), F.col("id").alias("id_t"), F.col("v").alias("v_t"))
     got = a.groupBy("country", "bq", "bt").cogroup(b.groupBy("country_t", "bq_t", "bt_t")).applyInArrow(lambda x, y: _dense(x, y, k), "id long, other long, sim double")
