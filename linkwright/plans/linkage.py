@@ -51,8 +51,10 @@ class Linkage:
         self.norm, self.block, self.feat, self.match = NORM[versions.norm], BLOCK[versions.block], FEAT[versions.feat], MATCH[versions.match]
         if self.match.monotone_min_corr:
             raise NotImplementedError(f"{versions.match}: the learners of pyspark.ml take no monotone constraints")
-        self.learner = learner or models.Learner(self.match.algo)
-        self.source = source or replace(versions, match=self.match.frozen_from)
+        if self.match.pred_margin:
+            raise NotImplementedError(f"{versions.match}: the learners of pyspark.ml sum all their trees")
+        self.learner = learner or models.Learner(self.match.algo, rate=self.match.rate)
+        self.source = source or replace(versions, **dict(zip(("block", "feat", "match"), self.match.frozen_from.split("__") if self.match.frozen_from else ())))
         self.check_scope()
 
     def check_scope(self) -> None:
@@ -110,11 +112,20 @@ class Linkage:
                 got = universe.copy_candidates(got, copies, b.search.k, b.search.k_noaddr)
             return got
 
-        got = self.table("block", "candidates", make)
+        if b.search_from:
+            got = Linkage(self.spark, self.folder, replace(self.v, block=b.search_from, match="MATCH-v1"), self.learner, self.scope, self.extra).candidates(x, q, t)
+        else:
+            got = self.table("block", "candidates", make)
         if not b.prune_keep:
             return got
-        rows = universe.labels(got.join(x.roles, "q"), x.truth)
-        cheap = ["bscore", "cos_name", "cos_addr"]
+        rows = context.context_features(got).join(q.select(F.col("rid").alias("q"), "country", F.col("name_core").alias("a_name_core")), "q")
+        rows = rows.join(t.select(F.col("rid").alias("t"), F.col("name_core").alias("b_name_core")), "t")
+        for side in "ab":
+            rows = context.name_freq(rows, q.select("country", F.col("name_core").alias(f"{side}_name_core")), f"{side}_name_freq", name=f"{side}_name_core")
+        rows = rows.drop("a_name_core", "b_name_core").withColumn("noaddr", F.col("noaddr_pass").cast("int"))
+        rows = universe.labels(rows.join(x.roles, "q"), x.truth)
+        # the search's own scores and their competition, no string similarity
+        cheap = ["src", "bscore", "cos_name", "cos_addr", "noaddr", "rank_in_q", "n_cand_q", "rank_in_src", "gap_to_best_src", "t_indegree", "rank_for_t", "margin_vs_other", "a_name_freq", "b_name_freq"]
         return self.table("block", "filtered", lambda: models.candidate_filter(rows, cheap, b.prune_keep)[0].select(*got.columns, "p_block"))
 
     def universe(self, x: Inputs, q: DataFrame, t: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -209,12 +220,12 @@ class Linkage:
         """Mean score of the member matchers, each with its own learner."""
         runs = []
         for name in self.match.blend_of:
-            learner = replace(self.learner, algo=MATCH[name].algo) if isinstance(self.learner, models.Learner) else None
+            learner = replace(self.learner, algo=MATCH[name].algo, rate=MATCH[name].rate) if isinstance(self.learner, models.Learner) else None
             runs.append(Linkage(self.spark, self.folder, replace(self.v, match=name), learner, self.scope, self.extra).scores(x, feats, t))
         return combine.blend(runs).join(feats.select("q", "t", "src", "country"), ["q", "t"]).select("q", "t", "src", "country", "p")
 
     def scores(self, x: Inputs, feats: DataFrame, t: DataFrame) -> DataFrame:
-        m = MATCH[self.match.frozen_from] if self.match.frozen_from else self.match
+        m = MATCH[self.source.match] if self.match.frozen_from else self.match
         names = [c for c in feats.columns if c not in ("q", "t", "src", "country")]
 
         def make() -> DataFrame:
@@ -251,13 +262,16 @@ class Linkage:
         return self.table("scores", "pairs", make)
 
     def predict(self, x: Inputs, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(chosen links of all entities by the rule that is best on held-out ones, the grid of rules).
+        """(chosen links of all entities by the matcher's rule that is best on held-out ones, the grid of rules).
 
-        A matcher with eval_dup counts links to targets that nobody owns twice.
+        A matcher with eval_dup counts links to targets that nobody owns twice; one
+        that is fitted on some countries chooses on theirs.
         """
         held = x.roles.filter("role = 'EVAL'").select("q")
+        if self.match.train_countries:
+            held = held.join(x.entities.filter(F.col("country").isin(*self.match.train_countries)).select(F.col("rid").alias("q")), "q", "left_semi")
         table = materialise(decide.grid(scores, x.truth.join(held, "q", "left_semi"), held, distractor_weight=self.doubled(), owned=x.truth), "grid")
-        best = decide.best_rule(table).first()
+        best = decide.best_rule(table.filter(F.col("rule").isin(*self.match.rules))).first()
         return decide.decide(scores, best["rule"], best["value"]), table
 
     def doubled(self) -> float:

@@ -80,16 +80,37 @@ def to_ids(pairs: DataFrame, q_ids: DataFrame, t_ids: DataFrame) -> DataFrame:
     return pairs.join(a, "q").join(b, "t").drop("q", "t")
 
 
-CHECKS = ("duplicate_row", "duplicate_id_in_list", "wrong_prefix", "unknown_id", "missing_entity", "extra_entity", "match_not_candidate")
+def check_file(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """check, offenders of a list file's form: empty, comma_separated, header (not exactly ``columns``), no_tab (rows without a tab).
+
+    The header is the file's first line, or the first line of each part of a folder.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
+    lines = lines.withColumn("row", F.monotonically_increasing_id())
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"), F.min("row").alias("head"))
+    heads = first.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum((~F.contains("header", F.lit("\t")) & F.contains("header", F.lit(","))).cast("long")), F.lit(0)).alias("comma"),
+        F.coalesce(F.sum((F.transform(F.split("header", "\t"), lambda c: F.lower(F.trim(c))) != F.array(*[F.lit(c) for c in columns])).cast("long")), F.lit(0)).alias("header"),
+    )
+    rows = lines.join(F.broadcast(first.select("file", "head")), "file").filter("row <> head")
+    tabs = rows.agg(F.coalesce(F.sum((~F.contains("value", F.lit("\t")) & (F.trim("value") != "")).cast("long")), F.lit(0)).alias("no_tab"))
+    x = heads.join(F.broadcast(tabs))
+    found = {"empty": (F.col("files") == 0).cast("long"), "comma_separated": F.col("comma"), "header": F.col("header"), "no_tab": F.col("no_tab")}
+    return x.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("offenders")) for k, v in found.items()])).alias("x")).select("x.check", "x.offenders")
+
+
+CHECKS = ("duplicate_row", "duplicate_id_in_list", "self_match", "wrong_prefix", "unknown_id", "missing_entity", "extra_entity", "match_not_candidate")
 
 
-def validate(results: DataFrame, entity_ids: DataFrame, target_ids: DataFrame, candidates: DataFrame | None = None, prefixes: tuple[str, ...] = ("S2-", "S3-"), key: str = "source1_entity_id", lists: str = "matched_entity_ids") -> DataFrame:
+def validate(results: DataFrame, entity_ids: DataFrame, target_ids: DataFrame, candidates: DataFrame | None = None, prefixes: tuple[str, ...] = ("S2-", "S3-"), own_prefix: str = "S1-", key: str = "source1_entity_id", lists: str = "matched_entity_ids") -> DataFrame:
     """check, offenders, severity for each check; a clean file has no offenders.
 
     Every check is one join or aggregate over the lists' rows or ids.
     """
     one = results.select(F.col(key).alias("q"), F.split(F.coalesce(F.col(lists), F.lit("")), ",").alias("ids"))
     ids = one.select("q", F.explode("ids").alias("t")).filter("t <> ''")
+    own = F.startswith(F.col("t"), F.lit(own_prefix))
     good = F.lit(False)
     for p in prefixes:
         good = good | F.startswith(F.col("t"), F.lit(p))
@@ -97,7 +118,8 @@ def validate(results: DataFrame, entity_ids: DataFrame, target_ids: DataFrame, c
     found = {
         "duplicate_row": one.groupBy("q").count().filter("count > 1"),
         "duplicate_id_in_list": one.filter(F.size(F.array_distinct("ids")) < F.size("ids")),
-        "wrong_prefix": ids.filter(~good),
+        "self_match": ids.filter(own),
+        "wrong_prefix": ids.filter(~good & ~own),
         "unknown_id": ids.filter(good).select("t").join(tar, "t", "left_anti"),
         "missing_entity": ent.join(one, "q", "left_anti"),
         "extra_entity": one.join(ent, "q", "left_anti"),

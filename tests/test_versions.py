@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from linkwright.functions import text
 from linkwright.operators import decide, models, universe
 from linkwright.plans.linkage import Inputs, Linkage
-from linkwright.plans.registry import resolve
+from linkwright.plans.registry import BLOCK, DEFAULT_PRESET, MATCH, PRESETS, Versions, resolve
 
 FAST = models.Learner("logistic", rounds=2, depth=2)
 
@@ -33,32 +33,43 @@ def p_of(df):
 
 
 def test_blend_and_frozen(spark, case, tmp_path):
-    run = lambda match: p_of(Linkage(spark, f"file://{tmp_path}/run", resolve(match=match), FAST).scores(*case))
+    versions = lambda match: resolve("M-v6", match=match)
+    run = lambda match: p_of(Linkage(spark, f"file://{tmp_path}/run", versions(match), FAST).scores(*case))
     with pytest.raises(FileNotFoundError):
-        run("MATCH-v22")
-    mixed = run("MATCH-v20")
-    one = {m: p_of(spark.read.parquet(f"file://{tmp_path}/run/{resolve(match=m).key('scores')}/pairs")) for m in ("MATCH-v6", "MATCH-v13")}
-    assert mixed == pytest.approx({k: (v + one["MATCH-v13"][k]) / 2 for k, v in one["MATCH-v6"].items()})
-    assert one["MATCH-v6"] != one["MATCH-v13"]
-    assert run("MATCH-v22") == pytest.approx(one["MATCH-v6"])
+        run("MATCH-v6-frozen-tlu")
+    mixed = run("MATCH-v9")
+    one = {m: p_of(spark.read.parquet(f"file://{tmp_path}/run/{versions(m).key('scores')}/pairs")) for m in ("MATCH-v6", "MATCH-v8")}
+    assert mixed == pytest.approx({k: (v + one["MATCH-v8"][k]) / 2 for k, v in one["MATCH-v6"].items()})
+    assert one["MATCH-v6"] != one["MATCH-v8"]
+    assert run("MATCH-v6-frozen-tlu") == pytest.approx(one["MATCH-v6"])
 
 
 def test_shift_and_self_training(spark, case, tmp_path):
     run = lambda match: p_of(Linkage(spark, f"file://{tmp_path}/run", resolve(match=match), FAST).scores(*case))
-    plain = run("MATCH-v2")
+    plain = run("MATCH-v6")
     assert len(plain) == 270
-    for match in ("MATCH-v12", "MATCH-v17"):
+    for match in ("MATCH-v22", "MATCH-v20", "MATCH-v17"):
         got = run(match)
         assert set(got) == set(plain)
         assert max(abs(got[k] - plain[k]) for k in got) > 1e-4
     x, feats, t = case
     with pytest.raises(ValueError):  # nothing to adapt to
-        Linkage(spark, f"file://{tmp_path}/one", resolve(match="MATCH-v12"), FAST).scores(x, feats.filter("country = 'a'"), t)
+        Linkage(spark, f"file://{tmp_path}/one", resolve(match="MATCH-v22"), FAST).scores(x, feats.filter("country = 'a'"), t)
 
 
-def test_monotone_is_refused(spark, tmp_path):
+def test_early_stop_of_scoring_is_refused(spark, tmp_path):
     with pytest.raises(NotImplementedError):
-        Linkage(spark, f"file://{tmp_path}/run", resolve(match="MATCH-v16"))
+        Linkage(spark, f"file://{tmp_path}/run", resolve(match="MATCH-v4"))
+
+
+def test_presets_resolve():
+    assert resolve("M-v12") == Versions("NORM-v2", "BLK-v5-tlu40", "FEAT-v4", "MATCH-v10")
+    assert resolve(DEFAULT_PRESET) == Versions() and resolve("M-v27").feat == "FEAT-v8"
+    for name in PRESETS:
+        resolve(name)
+    for m in MATCH.values():
+        assert set(m.blend_of) <= set(MATCH)
+    assert BLOCK["BLK-v5-tlu40"].search_from in BLOCK
 
 
 def test_doubled_distractors(spark):
@@ -103,6 +114,6 @@ def test_copies_are_cut_by_pass(spark, tmp_path):
     q = text.normalize(spark.createDataFrame([(1, "a", 1, "red mill", "1 road")], record))
     t = text.normalize(spark.createDataFrame([(r[1], "a", 2, f"red mill {r[1]}", "1 road") for r in rows], record))
     x = Inputs(None, None, truth, spark.createDataFrame([(1, "EVAL")], "q long, role string"))
-    plan = Linkage(spark, f"file://{tmp_path}/run", resolve("doubled"))
+    plan = Linkage(spark, f"file://{tmp_path}/run", resolve("M-v7"))
     feats = plan.features(*plan.universe(x, q, t), got)
     assert feats.count() == 7 and feats.filter(F.col("t") >= 1 << 40).count() == 2
