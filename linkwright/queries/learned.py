@@ -15,6 +15,7 @@ from ..sources.views import roles, scored, scored_b, truth_of, with_views
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 FEATURES = ["s", "rank_in_q", "rank_in_src", "gap_to_best_src", "n_cand_q", "t_indegree", "rank_for_t", "margin_vs_other"]
 LEARNER = models.Learner(rounds=8, depth=4)
+KEEPS = (0.98, 0.99, 0.995, 0.997, 0.999)
 
 
 def register(name: str, sql: str | None = None):
@@ -53,10 +54,20 @@ def candidate_filter(spark, d):
     return rounded(kept.select("q", "t", "p_block"), "p_block")
 
 
-@register("filter_curve")
+@register(
+    "filter_curve",
+    with_views(
+        """SELECT keep::DOUBLE AS keep, round(cut, 6) AS threshold, round(sum(CASE WHEN p >= cut THEN y ELSE 0 END) / sum(y)::DOUBLE, 6) AS recall, round(sum((p >= cut)::INT) / count(DISTINCT q)::DOUBLE, 6) AS per_entity
+        FROM marked, ("""
+        + " UNION ALL ".join(f"SELECT {k}::DOUBLE AS keep, quantile_cont(p, 1 - {k}::DOUBLE) AS cut FROM marked WHERE y = 1" for k in KEEPS)
+        + """) GROUP BY keep, cut""",
+        "scored", "truth",
+        marked="SELECT s.q, s.t, p, (tr.q IS NOT NULL)::INT AS y FROM scored s LEFT JOIN truth tr ON s.q = tr.q AND s.t = tr.t",
+    ),
+)
 def filter_curve(spark, d):
     x = rows(spark, d).withColumn("p_block", F.col("s"))
-    return rounded(models.filter_curve(x, [0.98, 0.99, 0.995, 0.997, 0.999]), "threshold", "recall", "per_entity")
+    return rounded(models.filter_curve(x, list(KEEPS)), "threshold", "recall", "per_entity")
 
 
 @register("covshift_weights")
@@ -138,7 +149,15 @@ def combine_model(spark, d):
     return rounded(models.cross_fit(x, names, LEARNER, 3).transform(x, "p_comb").select("q", "t", "y", "p_comb"), "p_comb")
 
 
-@register("entity_weights_rows")
+@register(
+    "entity_weights_rows",
+    with_views(
+        """SELECT q, t, y, round(CASE WHEN y = 1 THEN CASE WHEN k <= 1 THEN 1.0::DOUBLE ELSE 1 - 1.25::DOUBLE * (k - 1) / (0.25::DOUBLE * k + k - 1) END
+            ELSE CASE WHEN k <= 0 THEN 1.0::DOUBLE ELSE 1 - 1.25::DOUBLE * k / (0.25::DOUBLE * k + k + 1) END END, 6) AS w
+        FROM (SELECT s.q, s.t, (tr.q IS NOT NULL)::INT AS y, coalesce(k, 0) AS k FROM scored s LEFT JOIN truth tr ON s.q = tr.q AND s.t = tr.t LEFT JOIN (SELECT q, count(*) AS k FROM truth GROUP BY q) n ON s.q = n.q)""",
+        "scored", "truth",
+    ),
+)
 def entity_weights_rows(spark, d):
     x = universe.labels(scored(spark, d).select("q", "t"), truth_of(spark, d))
     return rounded(models.entity_weights(x, truth_of(spark, d)).select("q", "t", "y", "w"), "w")

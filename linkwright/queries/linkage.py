@@ -48,7 +48,7 @@ def _map(d: dict[str, str]) -> str:
 
 
 def _plain(c: str) -> str:
-    return f"translate(coalesce({c}, ''), {_q(text.ACCENTED)}, {_q(text.PLAIN)})"
+    return f"translate(translate(coalesce({c}, ''), {_q(text.ACCENTED)}, {_q(text.PLAIN)}), {_q(text.FURTHER[0])}, {_q(text.FURTHER[1])})"
 
 
 def _sub(c: str, pattern: str, to: str) -> str:
@@ -87,7 +87,7 @@ NORM = {
     "tokened": f"""SELECT *, list_aggregate({_fixed("name_c")}, 'string_agg', ' ') AS n0, list_aggregate({_fixed("post_c")}, 'string_agg', ' ') AS alt0, list_aggregate({_fixed("pre_c")}, 'string_agg', ' ') AS pre0,
       list_aggregate(list_transform({_toks("addr_c")}, lambda x: coalesce({_map(text.ADDRESS_WORDS)}[x], x)), 'string_agg', ' ') AS a0 FROM cleaned""",
     "norm": f"""SELECT rid, country, src, name_n, name_alt, name_pre, addr_n, name_core, replace(name_core, ' ', '') AS name_nosp, is_web, has_alias, addr_n <> '' AS has_addr,
-        regexp_matches(concat(business_name, business_address), '[^\\x00-\\x7F]') AS non_ascii, list_filter({_toks("addr_n")}, lambda x: regexp_matches(x, '^\\d+$')) AS all_nums
+        regexp_matches(coalesce(business_name, ''), '[^\\x00-\\x7F]') AS non_ascii, list_filter({_toks("addr_n")}, lambda x: regexp_matches(x, '^\\d+$')) AS all_nums
       FROM (SELECT *, CASE WHEN coalesce(core0, '') = '' THEN name_n ELSE core0 END AS name_core FROM (
         SELECT *, coalesce(n0, '') AS name_n, coalesce(alt0, '') AS name_alt, coalesce(pre0, '') AS name_pre, coalesce(a0, '') AS addr_n,
           list_aggregate(list_filter({_toks("coalesce(n0, '')")}, lambda x: x NOT IN ({", ".join(_q(w) for w in text.LEGAL)})), 'string_agg', ' ') AS core0 FROM tokened))""",
@@ -149,7 +149,7 @@ def row_ids(spark, d):
     "validator_report",
     with_views(
         """SELECT 'duplicate_row' AS check, 0::BIGINT AS offenders, 'error' AS severity UNION ALL SELECT 'duplicate_id_in_list', 0, 'error'
-        UNION ALL SELECT 'wrong_prefix', count(*), 'error' FROM scored WHERE src = 3 AND EXISTS (SELECT 1 FROM truth WHERE truth.q = scored.q AND truth.t = scored.t)
+        UNION ALL SELECT 'self_match', 0, 'error' UNION ALL SELECT 'wrong_prefix', count(*), 'error' FROM scored WHERE src = 3 AND EXISTS (SELECT 1 FROM truth WHERE truth.q = scored.q AND truth.t = scored.t)
         UNION ALL SELECT 'unknown_id', count(*), 'error' FROM scored SEMI JOIN truth USING (q, t) JOIN orders ON t = o_orderkey WHERE src = 2 AND o_orderstatus = 'O'
         UNION ALL SELECT 'missing_entity', 0, 'error' UNION ALL SELECT 'extra_entity', count(*), 'error' FROM part WHERE p_size > 40
         UNION ALL SELECT 'match_not_candidate', count(*), 'warning' FROM truth ANTI JOIN scored_b USING (q, t)""",
@@ -340,16 +340,9 @@ NOVAR = search.Search(k=10, k_noaddr=3, min_df_cap=20, max_df_frac=0.05, variant
 DEPTHS = [1, 2, 3, 5, 10]
 
 
-def _tied(df: DataFrame) -> DataFrame:
-    """Cosines without their last bits, which depend on the order of summing: ties then rank by id."""
-    return rounded(df, "cos_name", "cos_addr", digits=9).withColumn("bscore", F.col("cos_name") + F.col("cos_addr"))
-
-
 def _found(spark, d, how) -> DataFrame:
-    q, t = sides(spark, d)
-    scored_ = materialise(_tied(search.products(q, t, how)), "products")
-    main = search.top(scored_.filter(F.col("bscore") > how.least), how.k)
-    return scored_, main
+    """The operator's candidates by both passes, as the search version has them."""
+    return search.generate_candidates(*sides(spark, d), how)
 
 
 @register(
@@ -363,17 +356,17 @@ def idf_df_cap(spark, d):
 
 @register("sparse_topk", over_norm("SELECT q, t, src, round(bscore, 6) AS bscore FROM main", **_feats(WORDS)))
 def sparse_topk(spark, d):
-    return rounded(_found(spark, d, WORDS)[1].select("q", "t", "src", "bscore"), "bscore")
+    return rounded(_found(spark, d, WORDS).select("q", "t", "src", "bscore"), "bscore")
 
 
 @register("char_gram_search", over_norm("SELECT q, t, src, round(bscore, 6) AS bscore FROM main", **_feats(GRAMS)))
 def char_gram_search(spark, d):
-    return rounded(_found(spark, d, GRAMS)[1].select("q", "t", "src", "bscore"), "bscore")
+    return rounded(_found(spark, d, GRAMS).select("q", "t", "src", "bscore"), "bscore")
 
 
 @register("block_cosines", over_norm("SELECT q, t, round(cos_name, 6) AS cos_name, round(cos_addr, 6) AS cos_addr FROM main", **_feats(WORDS)))
 def block_cosines(spark, d):
-    return rounded(_found(spark, d, WORDS)[1].select("q", "t", "cos_name", "cos_addr"), "cos_name", "cos_addr")
+    return rounded(_found(spark, d, WORDS).select("q", "t", "cos_name", "cos_addr"), "cos_name", "cos_addr")
 
 
 _NOADDR = {"second": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, src ORDER BY cos_name DESC, t) AS r FROM prod WHERE noaddr AND cos_name > 0.05) WHERE r <= 3"}
@@ -381,8 +374,7 @@ _NOADDR = {"second": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q
 
 @register("noaddr_pass", over_norm("SELECT q, t, src, round(cos_name, 6) AS cos_name FROM second", **_feats(NOVAR), **_NOADDR))
 def noaddr_pass(spark, d):
-    got, _ = _found(spark, d, NOVAR)
-    only = search.top(got.filter("noaddr = 1 and cos_name > 0.05"), 3, "cos_name")
+    only = search.name_only(search.products(*sides(spark, d), NOVAR), NOVAR)
     return rounded(only.select("q", "t", "src", "cos_name"), "cos_name")
 
 
@@ -391,13 +383,8 @@ _MERGED = {
 }
 
 
-def candidates(spark, d, how=NOVAR, scored_=None, main=None) -> DataFrame:
-    """generate_candidates with scores cut to nine digits, so that ties are ties in any engine."""
-    if scored_ is None:
-        scored_, main = _found(spark, d, how)
-    only = search.top(scored_.filter((F.col("noaddr") == 1) & (F.col("cos_name") > how.least)), how.k_noaddr, "cos_name").withColumn("bscore", F.col("cos_name"))
-    x = main.withColumn("noaddr_pass", F.lit(False)).unionByName(only.withColumn("noaddr_pass", F.lit(True)).join(main.select("q", "t"), ["q", "t"], "left_anti"))
-    return x.select("q", "t", "src", "bscore", "noaddr_pass", "cos_name", "cos_addr")
+def candidates(spark, d, how=NOVAR) -> DataFrame:
+    return _found(spark, d, how)
 
 
 @register("pass_merge", over_norm("SELECT q, t, src, round(bscore, 6) AS bscore, noaddr_pass FROM cand", **_feats(NOVAR), **_NOADDR, **_MERGED))
@@ -441,9 +428,8 @@ def _in_regions(spark, d, how: search.Search) -> DataFrame:
     keys = materialise(learn.region_keys(q, 0.002, RATIO), "keys")
     gs = lambda r: r.select("rid", "country").join(learn.record_keys(r, keys).groupBy("rid").agg(F.collect_set("k").alias("gs")), "rid", "left")
     split = q.select("country").distinct()
-    got = _tied(search.products(q, t, how)).filter("bscore > 0.05")
-    seen = search.visible(got, gs(q), gs(t), split)
-    return rounded(search.top(seen, how.k).select("q", "t", "src", "bscore"), "bscore")
+    got = search.generate_candidates(q, t, how, (gs(q), gs(t), split))
+    return rounded(got.select("q", "t", "src", "bscore"), "bscore")
 
 
 @register("full_search")
@@ -467,23 +453,22 @@ def whole_idf_df_cap(spark, d):
 
 @register("whole_sparse_topk", over_norm("SELECT q, t, src, round(bscore, 6) AS bscore FROM main", **_feats(WHOLE_WORDS)))
 def whole_sparse_topk(spark, d):
-    return rounded(_found(spark, d, WHOLE_WORDS)[1].select("q", "t", "src", "bscore"), "bscore")
+    return rounded(_found(spark, d, WHOLE_WORDS).select("q", "t", "src", "bscore"), "bscore")
 
 
 @register("whole_block_cosines", over_norm("SELECT q, t, round(cos_name, 6) AS cos_name, round(cos_addr, 6) AS cos_addr FROM main", **_feats(WHOLE_WORDS)))
 def whole_block_cosines(spark, d):
-    return rounded(_found(spark, d, WHOLE_WORDS)[1].select("q", "t", "cos_name", "cos_addr"), "cos_name", "cos_addr")
+    return rounded(_found(spark, d, WHOLE_WORDS).select("q", "t", "cos_name", "cos_addr"), "cos_name", "cos_addr")
 
 
 @register("whole_char_gram_search", over_norm("SELECT q, t, src, round(bscore, 6) AS bscore FROM main", **_feats(WHOLE_GRAMS)))
 def whole_char_gram_search(spark, d):
-    return rounded(_found(spark, d, WHOLE_GRAMS)[1].select("q", "t", "src", "bscore"), "bscore")
+    return rounded(_found(spark, d, WHOLE_GRAMS).select("q", "t", "src", "bscore"), "bscore")
 
 
 @register("whole_noaddr_pass", over_norm("SELECT q, t, src, round(cos_name, 6) AS cos_name FROM second", **_feats(WHOLE_NOVAR), **_WHOLE_SECOND))
 def whole_noaddr_pass(spark, d):
-    got, _ = _found(spark, d, WHOLE_NOVAR)
-    only = search.top(got.filter("noaddr = 1 and cos_name > 0.05"), WHOLE_NOVAR.k_noaddr, "cos_name")
+    only = search.name_only(search.products(*sides(spark, d), WHOLE_NOVAR), WHOLE_NOVAR)
     return rounded(only.select("q", "t", "src", "cos_name"), "cos_name")
 
 
@@ -604,14 +589,44 @@ def twin_jaccard(spark, d):
     return rounded(search.twins(*sides(spark, d)), "best_jaccard")
 
 
+_TWINS = {
+    "kq": f"SELECT rid, country, list_aggregate(list_sort({_toks('name_core')}), 'string_agg', ' ') AS k, {_toks('addr_n')} AS ta FROM qn",
+    "kt": f"SELECT rid, country, list_aggregate(list_sort({_toks('name_core')}), 'string_agg', ' ') AS k, {_toks('addr_n')} AS ta FROM tn",
+    "tw": """SELECT b.rid AS t, b.country, coalesce(max(CASE WHEN a.rid IS NOT NULL THEN coalesce(len(list_intersect(a.ta, b.ta)) / nullif(len(list_distinct(list_concat(a.ta, b.ta))), 0)::DOUBLE, 0) END), 0) AS best,
+      count(DISTINCT a.rid) AS n_twins FROM kt b LEFT JOIN kq a USING (country, k) GROUP BY b.rid, b.country""",
+}
+
+
+@register("twin_summary", over_norm("SELECT country, count(*) AS n, round(avg(n_twins), 6) AS same_name, round(avg((best >= 0.3)::INT), 6) AS twin_30, round(avg((best >= 0.5)::INT), 6) AS twin_50, round(avg((best >= 0.7)::INT), 6) AS twin_70 FROM tw GROUP BY 1", **_TWINS))
+def twin_summary(spark, d):
+    q, t = sides(spark, d)
+    got = search.twins(q, t).join(t.select(F.col("rid").alias("t"), "country"), "t")
+    return rounded(metrics.twin_summary(got, "country"), "same_name", "twin_30", "twin_50", "twin_70")
+
+
+@register(
+    "record_stats",
+    over_norm(
+        """SELECT country, e.entities, round(e.shared / e.entities::DOUBLE, 6) AS name_shared, coalesce(targets, 0) AS targets, round(name_known, 6) AS name_known, round(no_addr, 6) AS no_addr, round(non_ascii, 6) AS non_ascii,
+          round(is_web, 6) AS is_web, round(has_alias, 6) AS has_alias, round(no_number, 6) AS no_number, round(coalesce(targets, 0) / e.entities::DOUBLE, 6) AS per_entity
+        FROM (SELECT country, sum(n)::BIGINT AS entities, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS shared FROM nq GROUP BY 1) e LEFT JOIN (
+          SELECT tn.country, count(*) AS targets, avg((nq.n IS NOT NULL)::INT) AS name_known, avg((NOT has_addr)::INT) AS no_addr, avg(non_ascii::INT) AS non_ascii, avg(is_web::INT) AS is_web, avg(has_alias::INT) AS has_alias,
+            avg((len(all_nums) = 0)::INT) AS no_number FROM tn LEFT JOIN nq ON tn.country = nq.country AND tn.name_core = nq.name_core GROUP BY 1) x USING (country)""",
+        nq="SELECT country, name_core, count(*) AS n FROM qn GROUP BY 1, 2",
+    ),
+)
+def record_stats(spark, d):
+    got = metrics.record_stats(*sides(spark, d))
+    return rounded(got, "name_shared", "name_known", "no_addr", "non_ascii", "is_web", "has_alias", "no_number", "per_entity")
+
+
 # --- pair features ---------------------------------------------------------------------------
 
 
 def pairs_of(spark, d):
     """Candidates of the word search with both records' columns."""
     q, t = sides(spark, d)
-    scored_ = _tied(search.products(q, t, WORDS)).filter("bscore > 0.05")
-    cand = materialise(search.top(scored_, WORDS.k).select("q", "t", "src", "bscore", "cos_addr"), "pairs")
+    cand = materialise(search.generate_candidates(q, t, WORDS).select("q", "t", "src", "bscore", "cos_addr"), "pairs")
     return q, t, pf.with_records(cand, q, t)
 
 
@@ -646,7 +661,7 @@ _NONE = "len(a_nums) = 0 OR len(b_nums) = 0"
     over_pairs(
         f"""SELECT q, t, round(CASE WHEN {_NONE} THEN -1 ELSE len(list_intersect(a_nums, b_nums)) / len(list_distinct(list_concat(a_nums, b_nums)))::DOUBLE END, 6) AS num_jacc,
         round(CASE WHEN {_NONE} THEN -1 ELSE len(list_intersect(a_nums, b_nums)) / len(b_nums)::DOUBLE END, 6) AS num_b_in_a, CASE WHEN {_NONE} THEN -1.0 ELSE list_contains(b_nums, a_first)::INT::DOUBLE END AS num_first_in_b,
-        CASE WHEN {_NONE} THEN -1.0 WHEN len(list_filter(b_nums, lambda y: NOT list_contains(a_nums, y))) > 0 AND
+        CASE WHEN {_NONE} THEN 0.0 WHEN len(list_filter(b_nums, lambda y: NOT list_contains(a_nums, y))) > 0 AND
           len(list_filter(a_nums, lambda x: len(list_filter(b_nums, lambda y: x <> y AND length(y) >= 2 AND (starts_with(x, y) OR ends_with(x, y) OR starts_with(y, x) OR ends_with(y, x)))) > 0)) > 0 THEN 1.0 ELSE 0.0 END AS num_trunc FROM pair"""
     ),
 )
@@ -771,13 +786,10 @@ def twin_flag(spark, d):
     """SELECT item_id AS q, doc_id AS t FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''""",
 )
 def bench_links(spark, d):
-    """Asymmetric linkage: documents that hold a benchmark passage whole. The passages are a bounded table; each document meets them once."""
-    items = table(spark, d, "benchmark").filter("text <> ''").select("item_id", F.col("text").alias("passage"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    few = items.limit(10_001).count() <= 10_000
-    if not few:
-        raise ValueError("more than 10,000 passages: use the search operators")
-    return docs.join(F.broadcast(items), F.contains("text", "passage")).select(F.col("item_id").alias("q"), F.col("doc_id").alias("t"))
+    """Asymmetric linkage: documents that hold a benchmark passage whole."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("passage"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("t"), "text")
+    return search.holders(items, docs)
 
 
 @register("pair_text", with_views("SELECT q, t, p_name || ' | ' || p_brand AS qtext, c || ' | ' || coalesce(o_orderpriority, '') AS ttext FROM (SELECT q, t, p_name, p_brand, o_orderstatus AS c, o_orderpriority FROM scored JOIN part ON q = p_partkey LEFT JOIN orders ON t = o_orderkey)", "scored"))

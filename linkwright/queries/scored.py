@@ -65,6 +65,26 @@ def threshold(spark, d):
     return rounded(decide.threshold(scored(spark, d), 0.6).select("q", "t", "p"), "p")
 
 
+@register(
+    "score_profile",
+    with_views(
+        """SELECT country, entities, round(linked, 6) AS linked, round(links_each, 6) AS links_each, round(top_low, 6) AS top_low, round(top_between, 6) AS top_between, round(top_high, 6) AS top_high,
+          round(link_unsure, 6) AS link_unsure, round(link_mean, 6) AS link_mean, round(target_none, 6) AS target_none, round(target_likely, 6) AS target_likely
+        FROM (SELECT country, count(*) AS entities, avg((coalesce(n, 0) > 0)::INT) AS linked, avg(coalesce(n, 0)) AS links_each, avg((coalesce(top, 0) < 0.2)::INT) AS top_low,
+            avg((coalesce(top, 0) BETWEEN 0.2 AND 0.8)::INT) AS top_between, avg((coalesce(top, 0) > 0.95)::INT) AS top_high
+          FROM entities LEFT JOIN (SELECT q, max(p) AS top, count(*) FILTER (p >= 0.6) AS n FROM own GROUP BY q) USING (q) GROUP BY 1)
+        LEFT JOIN (SELECT e.country, avg((p < 0.8)::INT) AS link_unsure, avg(p) AS link_mean FROM own JOIN entities e USING (q) WHERE p >= 0.6 GROUP BY 1) USING (country)
+        LEFT JOIN (SELECT country, avg((coalesce(most, 0) < 0.05)::INT) AS target_none, avg((coalesce(most, 0) > 0.5)::INT) AS target_likely
+          FROM targets LEFT JOIN (SELECT t, max(p) AS most FROM scored GROUP BY t) USING (t) GROUP BY 1) USING (country)""",
+        "scored", "own", "entities", "targets",
+    ),
+)
+def score_profile(spark, d):
+    x = scored(spark, d)
+    got = metrics.score_profile(x, decide.threshold(x.select("q", "t", "p"), 0.6), entities(spark, d), targets(spark, d))
+    return rounded(got, *[c for c in got.columns if c not in ("country", "entities")])
+
+
 @register("expected_f", with_views("SELECT q, t, round(p, 6) AS p FROM decided", "scored", "own", **DECIDED))
 def expected_f(spark, d):
     return rounded(decide.expected_f(scored(spark, d), 0.05).select("q", "t", "p"), "p")
@@ -364,7 +384,7 @@ def margin_vs_other(spark, d):
     with_views(
         f"""SELECT q, t, round(p, 6) AS p, rank_q, rank_src, rank_t, round(bq, 6) AS best_other_q, round(bs, 6) AS best_other_src, round(bt, 6) AS best_other_t, round(sum_q, 6) AS sum_q, n05_q, n_t,
           round(p - bt, 6) AS margin_t, round(p - bq, 6) AS margin_q FROM (SELECT *, {_RQ} AS rank_q, {_RS} AS rank_src, {_RT} AS rank_t, coalesce({_other("q", "t")}, 0) AS bq, coalesce({_other("q, src", "t")}, 0) AS bs,
-          coalesce({_other("t", "q")}, 0) AS bt, sum(p) OVER (PARTITION BY q) AS sum_q, sum((p >= 0.5)::BIGINT) OVER (PARTITION BY q)::BIGINT AS n05_q, count(*) OVER (PARTITION BY t) AS n_t FROM scored)""",
+          coalesce({_other("t", "q")}, 0) AS bt, sum(p) OVER (PARTITION BY q) AS sum_q, sum((p > 0.5)::BIGINT) OVER (PARTITION BY q)::BIGINT AS n05_q, count(*) OVER (PARTITION BY t) AS n_t FROM scored)""",
         "scored",
     ),
 )
@@ -398,15 +418,17 @@ def side_context(spark, d):
 @register(
     "stacker_context",
     with_views(
-        f"""SELECT q, t, {_RQ} AS rank_q, count(*) OVER (PARTITION BY q) AS n_q, round(sum(p) OVER (PARTITION BY q), 6) AS sum_q, round(max(p) OVER (PARTITION BY q), 6) AS top_q, round(coalesce(p - ({_other("q", "t")}), 0), 6) AS margin_q,
-          {_RS} AS rank_src, round(p - max(p) OVER (PARTITION BY q, src), 6) AS gap_src, {_RT} AS rank_t, count(*) OVER (PARTITION BY t) AS n_t, round(coalesce(p - ({_other("t", "q")}), 0), 6) AS margin_t
-        FROM (SELECT 'S1-' || q AS q, 'S' || src || '-' || t AS t, p, 'S' || src AS src FROM scored)""",
+        f"""SELECT q, t, rank_q, n_q, round(sum_q, 6) AS sum_q, n05_q, round(bq, 6) AS best_other_q, round(p - bq, 6) AS margin_q, rank_src, round(bs, 6) AS best_other_src, rank_t, n_t,
+          round(bt, 6) AS best_other_t, round(p - bt, 6) AS margin_t FROM (
+          SELECT q, t, p, {_RQ} AS rank_q, count(*) OVER (PARTITION BY q) AS n_q, sum(p) OVER (PARTITION BY q) AS sum_q, sum((p > 0.5)::BIGINT) OVER (PARTITION BY q)::BIGINT AS n05_q,
+          coalesce({_other("q", "t")}, 0) AS bq, {_RS} AS rank_src, coalesce({_other("q, src", "t")}, 0) AS bs, {_RT} AS rank_t, count(*) OVER (PARTITION BY t) AS n_t, coalesce({_other("t", "q")}, 0) AS bt
+        FROM (SELECT 'S1-' || q AS q, 'S' || src || '-' || t AS t, p, 'S' || src AS src FROM scored))""",
         "scored",
     ),
 )
 def stacker_context(spark, d):
     ids = scored(spark, d).select(F.concat(F.lit("S1-"), "q").alias("q"), F.concat(F.lit("S"), "src", F.lit("-"), "t").alias("t"), "p")
-    return rounded(context.stacker_context(ids).drop("p", "src"), "sum_q", "top_q", "margin_q", "gap_src", "margin_t")
+    return rounded(context.stacker_context(ids).drop("p", "src"), "sum_q", "best_other_q", "margin_q", "best_other_src", "best_other_t", "margin_t")
 
 
 @register(
@@ -522,6 +544,10 @@ def blend(spark, d):
 @register("id_map", with_views("SELECT p_name AS s1_id, 'S' || src || '-' || t AS cand_id, round(p, 6) AS p FROM scored JOIN part ON q = p_partkey", "scored"))
 def id_map(spark, d):
     from ..session import table
+    from ..sources.records import to_ids
 
     names = table(spark, d, "part").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("s1_id"))
-    return rounded(scored(spark, d).join(names, "q").select("s1_id", F.concat(F.lit("S"), "src", F.lit("-"), "t").alias("cand_id"), "p"), "p")
+    pairs = scored(spark, d)
+    named = pairs.select("t", "src").distinct().select(F.col("t").alias("rid"), F.concat(F.lit("S"), "src", F.lit("-"), "t").alias("entity_id"))
+    got = to_ids(pairs.select("q", "t", "p"), names.select(F.col("q").alias("rid"), F.col("s1_id").alias("entity_id")), named)
+    return rounded(got.select("s1_id", "cand_id", "p"), "p")
