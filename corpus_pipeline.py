@@ -2,6 +2,20 @@
 
 Each stage reads all that the one before kept, as written, and gives documents in
 the columns they came with; the last gives the pieces of sequences.
+
+Every stage takes null ids, texts and sources, empty and very long texts, repeated
+rows, an empty table (which stays empty) and further columns of any name, which
+come out as they went in. What each does with them:
+
+- quality_classifier: null and empty texts get the score of a text that says
+  nothing; repeated rows are judged alike; without labels of both classes all stay.
+- quality_rules: null and empty texts have too few words and go.
+- near_duplicates: texts without words link with nothing and stay; of repeated rows
+  one stays, the first by its other columns; ties go to the smaller doc_id, null last.
+- source_mixing: a null source is one of its own; null texts have no words; rows
+  with equal doc_id and text share their draw.
+- best_fit_packing: null text is the end token alone; every row is packed, repeated
+  ones as often as they occur.
 """
 
 from __future__ import annotations
@@ -18,7 +32,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule of the ledger's policy v2."""
+    """Documents whose ledger bits pass policy v2."""
     return rules.filtered(docs, "v2")
 
 
