@@ -571,3 +571,16 @@ def test_pipeline(spark, sf):
     sizes = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.filter("piece = 0").count() == sizes
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Row-local stages on odd and empty tables, with columns that clash with the operators' own."""
+    docs = odd(spark).selectExpr("*", "1 as n_words", "2 as failed", "3 as _row", "4 as c0", "5 as copies")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality_rules", "source_mixing"):
+        assert stages[name](spark, docs, "").columns == docs.columns
+        assert stages[name](spark, empty(docs), "").count() == 0
+    kept = stages["quality_rules"](spark, docs, "").collect()
+    assert all(len(words(r.text)) >= 50 for r in kept)
+    packed = stages["best_fit_packing"](spark, docs, "")
+    assert packed.filter("piece = 0").count() == docs.count() and stages["best_fit_packing"](spark, empty(docs), "").count() == 0
