@@ -21,9 +21,8 @@ together again, and turns are numbered through.
 
 Edge cases: null text or role is an empty string; a transcript without lines has
 no turns; an empty turn of a table leaves no line and so no turn; repeated rows
-are turns like others; null turn numbers come last; where many rows share a turn
-number (more rows than a run holds four times) they are dealt by hash, and equal
-numbers are otherwise in the order of role and text; ties between states go to the
+are turns like others; null turn numbers come last; equal turn numbers are in the
+order of role and text, however many they are; ties between states go to the
 first in STATES order; an empty table gives an empty result; extra columns,
 whatever their names, are not read.
 """
@@ -181,7 +180,8 @@ def runs(conversations: DataFrame, line: Column | None = None, run: int = RUN, m
     """conv_id, run, piece, turns (array of turn, role, line): each conversation's turns in order, in groups of bounded size.
 
     line: how a turn is written (its text). Runs cut by number that hold more than
-    four times ``run`` rows or ``most`` bytes are cut again, by hash.
+    four times ``run`` rows or ``most`` bytes are cut again, in the order of turns: the
+    pieces one after another are the run, whatever its size.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), (text if line is None else line).alias("line"))
@@ -189,18 +189,27 @@ def runs(conversations: DataFrame, line: Column | None = None, run: int = RUN, m
     rows = rows.withColumn("run", F.coalesce(F.floor(F.col("turn") / run).cast("long"), last))
     size = rows.groupBy("conv_id", "run").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("line")).alias("bytes"))
     big = size.filter((F.col("n") > 4 * run) | (F.col("bytes") > 4 * most))
-    big = materialise(big.select(F.col("conv_id").alias("_conv"), F.col("run").alias("_run"), F.ceil(F.greatest(F.col("n") / run, F.col("bytes") / most)).alias("_cut")), "chat-big")
+    big = materialise(big.select(F.col("conv_id").alias("_conv"), F.col("run").alias("_run")), "chat-big")
     on = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("run") == F.col("_run"))
     if big.isEmpty():
         rows = rows.withColumn("piece", F.lit(0).cast("long"))
     else:
         wide = join_small(rows, big, on)
-        # equal rows hash alike, so their copies are numbered: counted first, on the map side
-        many = wide.filter("_cut is not null").groupBy("conv_id", "run", "_cut", "turn", "role", "line").agg(F.count(F.lit(1)).alias("n"))
-        many = many.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-        many = many.withColumn("piece", F.pmod(F.xxhash64("turn", "role", "line", "copy"), F.col("_cut")))
+        # copies are counted first, on the map side; a turn's place is what its run holds before it, then what its number holds
+        many = wide.filter("_run is not null").groupBy("conv_id", "run", "turn", "role", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.octet_length("line").cast("long"))
+        total = many.groupBy("conv_id", "run", "turn").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("size")).alias("bytes"))
+        until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        w = until(Window.partitionBy("conv_id", "run").orderBy(F.col("turn").isNull(), "turn"))  # a row a turn number
+        at = total.select(F.col("conv_id").alias("_c"), F.col("run").alias("_r"), F.col("turn").alias("_t"), *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_{c}") for c in ("rows", "bytes")])
+        same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("run") == F.col("_r")) & F.col("turn").eqNullSafe(F.col("_t"))
+        w = until(Window.partitionBy("conv_id", "run", "turn").orderBy("role", "line"))
+        for c, x in (("rows", F.col("n")), ("bytes", F.col("n") * F.col("size"))):
+            many = many.withColumn(c, F.coalesce(F.sum(x).over(w), F.lit(0)))
+        many = many.join(at, same).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        before = lambda c, each: F.col(c) + F.col(f"_{c}") + F.col("copy") * each
+        many = many.withColumn("piece", (F.floor(before("rows", F.lit(1)) / run) + F.floor(before("bytes", F.col("size")) / most)).cast("long"))
         keep = ["conv_id", "run", "turn", "role", "line", "piece"]
-        rows = wide.filter("_cut is null").withColumn("piece", F.lit(0).cast("long")).select(*keep).unionByName(many.select(*keep))
+        rows = wide.filter("_run is null").withColumn("piece", F.lit(0).cast("long")).select(*keep).unionByName(many.select(*keep))
     none_last = F.struct(F.col("turn").isNull().alias("none"), "turn", "role", "line")
     grouped = rows.groupBy("conv_id", "run", "piece").agg(F.array_sort(F.collect_list(none_last)).alias("turns"))
     return grouped.select("conv_id", "run", "piece", F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["line"].alias("line"))).alias("turns"))
@@ -268,7 +277,7 @@ def learn(grouped: DataFrame, weight: float = 20.0) -> dict:
     ``weight``: how many lines, turns or conversations the default tables count as.
     """
     bound_batches(grouped.sparkSession)
-    counted = grouped.select((F.col("run") == 0).alias("begins"), "turns").mapInArrow(_estimate, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    counted = grouped.select(((F.col("run") == 0) & (F.col("piece") == 0)).alias("begins"), "turns").mapInArrow(_estimate, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
     got = {(r.what, r.a, r.b): r.n for r in counted.collect()}  # states times values at most
     model = default_model()
     starts = sum(got.get(("start", r, ""), 0) for r in ROLES)

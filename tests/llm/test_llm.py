@@ -584,3 +584,19 @@ def test_pipeline_stages_on_odd_tables(spark):
     assert all(len(words(r.text)) >= 50 for r in kept)
     packed = stages["best_fit_packing"](spark, docs, "")
     assert packed.filter("piece = 0").count() == docs.count() and stages["best_fit_packing"](spark, empty(docs), "").count() == 0
+
+
+def test_chat_runs_keep_their_order_when_cut(spark):
+    """Runs over the bounds, by rows and by bytes, repeated and null numbers among them: the pieces below each other are the uncut run."""
+    from linkwright.llm import chat
+
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"{t} " + "x" * (t * 37 % 90)) for t in range(40)]
+    rows += [(1, 7, "user", "same")] * 30 + [(1, None, "user", f"late {i}") for i in range(20)] + [(2, 0, "user", "short")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    order = lambda got: [(r.conv_id, t.turn, t.role, t.line) for r in sorted(got.collect(), key=lambda r: (r.conv_id, r.run, r.piece)) for t in r.turns]
+    whole = order(chat.runs(df, run=64))
+    assert len(whole) == len(rows)
+    for most in (1 << 20, 200, 60):
+        cut = chat.runs(df.repartition(3), run=64 if most < 1 << 20 else 4, most=most)
+        assert cut.filter("piece > 0").count() > 0
+        assert order(cut) == whole
