@@ -313,3 +313,11 @@ def test_command_line(spark, tmp_path):
     x, q, t = command.inputs(spark, f"file://{tmp_path}")
     assert x.truth.count() == 24 and q.count() == 12 and t.count() == 24
     assert {r.role for r in x.roles.select("role").distinct().collect()} <= {"EVAL", "ES", "FIT", "REST"}
+
+
+def test_distinctive_by_hash_sets(spark):
+    x = spark.createDataFrame([("us", "main st  7 main"), (None, "main st"), ("fr", "main st"), ("us", None), ("us", "")], "country string, addr_n string")
+    often = spark.createDataFrame([("us", "main"), ("fr", "st"), (None, "st")], "country string, tok string")
+    got = features.distinctive(x, often, "addr_n", "rare")
+    assert {(r.country, r.addr_n): r.rare for r in got.collect()} == {("us", "main st  7 main"): "st 7", (None, "main st"): "main st", ("fr", "main st"): "main", ("us", None): None, ("us", ""): ""}
+    assert "array_contains" not in got._jdf.queryExecution().toString()
